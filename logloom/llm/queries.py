@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe_codec, media, token_counts, token_output
+from logloom.llm import bpe_codec, language_id, media, packing, quality_classifier, quality_rules, token_counts, token_output
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,6 +18,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2, limits=packing.Limits())
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     stored = media.store_media(docs)
@@ -27,6 +35,16 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key.doc_id", "key.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.train(docs, ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    return language_id.identify(docs, model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.codec_digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -39,5 +57,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op5_bpe_codec, op6_token_output, op8_token_counts)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.col("lang"), keep=["doc_id"])
+    return found.withColumnsRenamed({"__host": "host", "__path": "path"})
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_media_columns, op3_quality_rules, op4_language_id, op5_bpe_codec, op6_token_output, op8_token_counts, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}

@@ -31,3 +31,14 @@ def written(df: DataFrame, name: str, *partition_by: str, **options: str) -> Dat
 
 def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+#: Up to so many rows of one or two small columns, a side of a join is broadcast; beyond it Spark shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_not(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The narrow side of a join with a broadcast hint if it has ``most`` rows or fewer, counted; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

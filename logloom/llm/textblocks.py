@@ -128,21 +128,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all windows of ``size`` words inside a text, and the text's row of each.
+def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all windows of ``size`` words inside a text, the text's row of each, and its first word's place.
 
     hashes: one per word in order; first: offsets of each text's words.
     """
     n = len(hashes) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     total = np.full(n, 0x9E3779B97F4A7C15 * size % 2**64, np.uint64)
     for k in range(size):
         total = mixed(total * np.uint64(0x100000001B3) ^ hashes[k : k + n])
     counts = np.diff(first)
     text = np.repeat(np.arange(len(counts)), counts)
-    inside = text[:n] == text[size - 1 : size - 1 + n]
-    return total[inside], text[:n][inside]
+    place = np.flatnonzero(text[:n] == text[size - 1 : size - 1 + n])
+    return total[place], text[place], place
 
 
 def chunk_starts(data: np.ndarray, at: np.ndarray, spaces: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -179,3 +179,36 @@ def wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(hits):
         flags[np.searchsorted(at, hits, "right") - 1] = True
     return flags
+
+
+def repeated_words(codes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Words of each text in windows of ``size`` words that are found twice or more in it, the first one included."""
+    hashes, text, place = windows(mixed(codes.astype(np.uint64) + np.uint64(1)), first, size)
+    key = mixed(hashes + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    twice = np.zeros(len(key), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    cover = np.zeros(len(codes) + 1, np.int32)
+    begin = place[twice]
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, begin + size, -1)
+    return per_text(np.cumsum(cover[:-1]) > 0, first)
+
+
+def repeated_lines(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Lines of each text with a word in them (``inside``: bytes of words) that equal an earlier one."""
+    if not len(data):
+        return np.zeros(len(at) - 1, np.int64)
+    begins = doc_starts(data, at)[:-1]
+    begins[1:] |= data[:-1] == 10
+    starts = np.flatnonzero(begins)
+    worded = per_text(inside, np.append(starts, len(data))) > 0
+    kept = data != 10
+    rank = np.concatenate(([0], np.cumsum(kept, dtype=np.int64)))
+    codes, _ = encoded(data[kept], rank[np.append(starts, len(data))])
+    text = np.searchsorted(at, starts, "right") - 1
+    key = (text * (int(codes.max()) + 1) + codes)[worded]
+    n = np.bincount(text[worded], minlength=len(at) - 1)
+    return n - np.bincount(text[worded][np.unique(key, return_index=True)[1]], minlength=len(at) - 1)
