@@ -1,8 +1,66 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""Corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Rows
+that a stage rejects are gone for all later ones. Null or empty texts: the quality stage judges them by their zero
+counts, the language stage rejects them. Repeated rows: the near-duplicate stage keeps one of each document.
+An empty table passes through every stage. Further columns pass through; ``__text``, ``__host`` and ``__path`` are
+taken as names.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.llm import language_id, ngram_join, packing, pii, quality_classifier, tables
+from logloom.llm.queries import held_out, tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality_classifier.classify(docs, labels, F.col("source"), F.col("lang"))
+    return found.where("kept").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that some language's model accepts."""
+    model = language_id.train(docs, ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    return language_id.identify(docs, model).where("not rejected").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by n-gram overlap the one of smallest id, once."""
+    found = tables.written(ngram_join.jaccard_components(docs).select("doc_id", "component_id"), "near-duplicates").where("doc_id is not null")
+    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = tables.written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return docs.join(tables.small_or_not(drop), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(again, "doc_id", "left_semi").join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    rest = docs.join(tables.small_or_not(drop.union(again).distinct()), "doc_id", "left_anti")
+    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind and n_chars counted anew."""
+    weights = pii.train(pii.candidates(docs, keep=[]))
+    rows = pii.annotate(pii.candidates(docs), weights)
+    masked = rows.withColumn("text", pii.redacted(F.col("text"), F.col("spans"))).withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4,096 tokens."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, limits=packing.Limits())
+
+
+STAGES = [("quality classifier", quality), ("language id", language), ("n-gram jaccard join", near_duplicates), ("pii", personal_data), ("packing", pack)]
+#: The stages run trained models, a similarity join and a tokenizer, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = tables.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe_codec, language_id, media, packing, quality_classifier, quality_rules, token_counts, token_output
+from logloom.llm import bpe_codec, language_id, media, ngram_join, packing, pii, quality_classifier, quality_rules, tables, token_counts, token_output
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,15 +53,26 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.written(pii.candidates(documents(spark, sf_dir), keep=["doc_id"]), "pii-spans")
+    rows = pii.annotate(found, pii.train(found))
+    counts = [pii.counted(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.col("lang"), keep=["doc_id"])
     return found.withColumnsRenamed({"__host": "host", "__path": "path"})
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_media_columns, op3_quality_rules, op4_language_id, op5_bpe_codec, op6_token_output, op8_token_counts, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_media_columns, op3_quality_rules, op4_language_id, op5_bpe_codec, op6_token_output, op7_ngram_join, op8_token_counts, op9_pii, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
