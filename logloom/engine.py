@@ -147,11 +147,27 @@ class LogEngine:
         return self.table("topics").where(F.col("name") == name)
 
     def stats(self) -> DataFrame:
-        state = self.table("batches").groupBy("topic", "partition").agg(F.max("start_offset").alias("s"), (F.max("last_offset") + 1).alias("e"))
+        """One row: topics, partitions, records, segments, produced_total."""
+        names = ["topics", "partitions", "records", "segments", "produced_total"]
+        zero = lambda cols: [F.lit(0).cast("long").alias(n) for n in names if n not in cols]
         topics = self.table("topics")
-        parts = topics.agg(F.count("*").alias("topics"), F.coalesce(F.sum("partitions"), F.lit(0)).alias("partitions"))
-        live = state.join(topics, state.topic == topics.name).agg(F.coalesce(F.sum(F.col("e") - F.col("s")), F.lit(0)).alias("records"), F.coalesce(F.sum(F.ceil(F.col("e") / F.col("segment_max_records")) - F.floor(F.col("s") / F.col("segment_max_records"))), F.lit(0)).cast("long").alias("segments"), F.coalesce(F.sum("e"), F.lit(0)).alias("produced_total"))
-        return parts.join(live)  # one row each
+        state = self.table("batches").groupBy("topic", "partition").agg(F.max("start_offset").alias("s"), (F.max("last_offset") + 1).alias("e"))
+        live = state.join(topics, state.topic == topics.name)
+        segments = F.ceil(F.col("e") / F.col("segment_max_records")) - F.floor(F.col("s") / F.col("segment_max_records"))
+        parts = [
+            topics.select(F.lit(1).cast("long").alias("topics"), F.col("partitions").cast("long").alias("partitions"), *zero(["topics", "partitions"])),
+            live.select(*zero(["records", "segments", "produced_total"]), (F.col("e") - F.col("s")).alias("records"), segments.cast("long").alias("segments"), F.col("e").alias("produced_total")),
+        ]
+        return parts[0].unionByName(parts[1]).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
+    def counters(self) -> DataFrame:
+        """metric, value: what the log has done so far, from its tables."""
+        kinds = self.table("events").groupBy("kind").agg(F.count("*").alias("value"), F.coalesce(F.sum("count"), F.lit(0)).alias("records"))
+        produced = kinds.where("kind = 'records_appended'").select(F.lit("records_produced_total").alias("metric"), F.col("records").alias("value"))
+        status = self.connectors()
+        sums = [status.agg(F.coalesce(F.sum(c), F.lit(0)).alias("value")).select(F.lit(m).alias("metric"), "value") for m, c in (("records_delivered_total", "processed"), ("records_dead_lettered_total", "dead_lettered"))]
+        out = kinds.select(F.concat("kind", F.lit("_total")).alias("metric"), "value").unionByName(produced)
+        return out.unionByName(sums[0]).unionByName(sums[1]).unionByName(self.dead_letters().agg(F.count("*").alias("value")).select(F.lit("dlq_size").alias("metric"), "value"))
 
     def connectors(self) -> DataFrame:
         return registry.statuses(self.table("statuses"))

@@ -78,6 +78,8 @@ def test_sink_drains_with_dead_letters(spark, tmp_path):
     s = engine.connectors().first()
     assert (s.id, s.guarantee, s.processed, s.dead_lettered, s.checkpoint) == ("sink-1", "at_least_once", 4, 3, 7)
     assert runtime.run_once(engine, "sink-1", "t", 0, runtime.FailingSink(3))["polled"] == 0
+    counters = {r.metric: r.value for r in engine.counters().collect()}
+    assert counters == {"topic_created_total": 1, "records_appended_total": 1, "records_produced_total": 7, "records_delivered_total": 4, "records_dead_lettered_total": 3, "dlq_size": 3}
 
 
 def crash_at(offset):
@@ -175,3 +177,10 @@ def test_bucket_breaker_bulkhead():
     assert c.call(11, True) and c.state == "open" and c.call(21, False) and c.state == "closed"
     h = folds.Bulkhead(2)
     assert [h.enter(0, 10), h.enter(0, 5), h.enter(4, 9), h.enter(5, 9)] == [True, True, False, True]
+
+
+def test_demo(spark, tmp_path):
+    from logloom import demo
+
+    got = demo.run(spark, str(tmp_path), records=1200, keys=50, fail_every=500)
+    assert {k: got[k] for k in ("sourced", "delivered", "dead_lettered", "dlq_size")} == {"sourced": 1200, "delivered": 1197, "dead_lettered": 3, "dlq_size": 3}
