@@ -16,16 +16,18 @@ _DIGITS = "0123456789ABCDEF"
 
 
 def utf8_bytes(text: Column) -> Column:
-    """Byte values; empty for an empty text."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    digit = lambda at: F.instr(F.lit(_DIGITS), F.substring(digits, at, F.lit(1))) - 1
+    """Byte values; empty for an empty text. The hex digits are bound once, not built anew for each byte."""
     n = F.octet_length(text)
-    values = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (digit(i * 2 - 1) * 16 + digit(i * 2)).cast("long"))
-    return F.when(n > 0, values).otherwise(F.array().cast("array<bigint>"))
 
+    def values(digits: Column) -> Column:
+        digit = lambda at: F.instr(F.lit(_DIGITS), F.substring(digits, at, F.lit(1))) - 1
+        return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (digit(i * 2 - 1) * 16 + digit(i * 2)).cast("long"))
 
-def fnv1a(text: Column) -> Column:
-    """Struct (hi, lo) of the hash; null for null."""
+    return F.when(n > 0, F.transform(F.array(F.hex(F.encode(text, "UTF-8"))), values)[0]).otherwise(F.array().cast("array<bigint>"))
+
+
+def _fold(text: Column, finish) -> Column:
+    """One pass over the bytes; finish(hi, lo) makes the result, so that both halves come from the same pass."""
     start = F.struct(F.lit(BASIS_HI).cast("long").alias("hi"), F.lit(BASIS_LO).cast("long").alias("lo"))
 
     def step(h: Column, byte: Column) -> Column:
@@ -34,13 +36,14 @@ def fnv1a(text: Column) -> Column:
         high = h["hi"] * PRIME_LOW + F.shiftright(low, 32) + x.bitwiseAND(F.lit(0xFFFFFF)) * 256
         return F.struct(high.bitwiseAND(F.lit(LOW32)).alias("hi"), low.bitwiseAND(F.lit(LOW32)).alias("lo"))
 
-    return F.when(text.isNotNull(), F.aggregate(utf8_bytes(text), start, step))
+    return F.when(text.isNotNull(), F.aggregate(utf8_bytes(text), start, step, lambda h: finish(h["hi"], h["lo"])))
 
 
-def hash_hex(h: Column) -> Column:
-    return F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0")))
+def fnv1a_hex(text: Column) -> Column:
+    """16 lower-case hex digits; null for null."""
+    return _fold(text, lambda hi, lo: F.lower(F.concat(F.lpad(F.hex(hi), 8, "0"), F.lpad(F.hex(lo), 8, "0"))))
 
 
-def hash_mod(h: Column, n: int) -> Column:
-    """The unsigned hash modulo n."""
-    return (((h["hi"] % n) * (2**32 % n) + h["lo"] % n) % n).cast("int")
+def fnv1a_mod(text: Column, n: int) -> Column:
+    """The unsigned hash modulo n; null for null."""
+    return _fold(text, lambda hi, lo: (((hi % n) * (2**32 % n) + lo % n) % n).cast("int"))

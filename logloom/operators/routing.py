@@ -9,7 +9,7 @@ from logloom.functions import hashing
 
 
 def keyed(key: Column, partitions: int) -> Column:
-    return hashing.hash_mod(hashing.fnv1a(key), partitions)
+    return hashing.fnv1a_mod(key, partitions)
 
 
 def batches(records: DataFrame, partitions: int, batch: str = "batch_id", seq: str = "seq", key: str = "key") -> DataFrame:

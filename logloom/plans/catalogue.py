@@ -99,7 +99,7 @@ APPENDS_SQL = f"""{RECORDS_SQL}, {KEYS_SQL}, firsts AS (SELECT batch_id, arg_min
 
 @query(f"WITH {RECORDS_SQL}, {KEYS_SQL} SELECT key, lower(lpad(hex(h::UBIGINT), 16, '0')) AS hash_hex FROM keys")
 def fnv1a_hash(spark, sf_dir):
-    return events_table(spark, sf_dir).select("key").distinct().select("key", hashing.hash_hex(hashing.fnv1a(F.col("key"))).alias("hash_hex"))
+    return events_table(spark, sf_dir).select("key").distinct().select("key", hashing.fnv1a_hex(F.col("key")).alias("hash_hex"))
 
 
 @query(f"WITH {LOG_SQL} SELECT event_id, partition FROM routed")

@@ -24,8 +24,7 @@ def fnv(data: bytes) -> int:
 def test_fnv_of_any_text(spark):
     texts = ["", "user-8", "user-42", "é", "日本", "a" * 300, None, "\x00"]
     df = spark.createDataFrame([(t,) for t in texts], "k string")
-    h = hashing.fnv1a(F.col("k"))
-    for r in df.select("k", hashing.hash_hex(h).alias("x"), hashing.hash_mod(h, 7).alias("m")).collect():
+    for r in df.select("k", hashing.fnv1a_hex(F.col("k")).alias("x"), hashing.fnv1a_mod(F.col("k"), 7).alias("m")).collect():
         if r.k is None:
             assert r.x is None and r.m is None
         else:
