@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from logloom.llm import byte_bpe, tables
 from logloom.llm import textblocks as tb
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SEQUENCE_BITS = 36
 
 

@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Rows are handled in blocks of about so many bytes, so that work arrays stay small.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
