@@ -46,9 +46,8 @@ class Settings:
     chunk: int = 2048
 
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _INFO, _DATA = 0, 1
-_MASK48 = np.uint64((1 << 48) - 1)
 
 
 def sets_of(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +196,8 @@ def _assembled(settings: Settings):
 class Trie:
     """Ordered sets in a path-compressed trie, in arrays. Node 0 is the root."""
 
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        """sets: ascending ranks of each set; sizes: of the full sets (n-grams of one set only are left out of ``sets``)."""
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, n_ranks: int):
+        """sets: ascending ranks below n_ranks of each set; sizes: of the full sets (n-grams of one set only are left out of ``sets``)."""
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         begin, end, parent, segments = [0], [0], [-1], [np.zeros(0, np.int64)]
         terminal = np.empty(len(sets), np.int64)
@@ -232,7 +231,7 @@ class Trie:
                 segments.append(own[common:])
                 path.append(node)
             terminal[i] = path[-1]
-        self.sets, self.sizes, self.terminal = sets, sizes, terminal
+        self.sets, self.sizes, self.n_ranks = sets, sizes, n_ranks
         n = len(begin)
         self.length = np.array([len(s) for s in segments])
         self.start = np.cumsum(self.length) - self.length
@@ -249,67 +248,86 @@ class Trie:
         self.child_start = np.cumsum(self.child_count) - self.child_count
         self.children = np.array([c for cs in children for c in cs], np.int64)
         # bounds over each subtree
-        self.low, self.high, self.deep = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64), end_.copy()
+        self.low, self.high, self.top, deep = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64), np.full(n, -1), end_.copy()
         np.minimum.at(self.low, terminal, sizes)
         np.maximum.at(self.high, terminal, sizes)
+        np.maximum.at(self.top, terminal, np.arange(len(sets)))
         for level in levels[:0:-1]:
             np.minimum.at(self.low, parent_[level], self.low[level])
             np.maximum.at(self.high, parent_[level], self.high[level])
-            np.maximum.at(self.deep, parent_[level], self.deep[level])
-        self.left = self.deep - end_
+            np.maximum.at(self.top, parent_[level], self.top[level])
+            np.maximum.at(deep, parent_[level], deep[level])
+        self.left = deep - end_
         by_node = np.argsort(terminal, kind="stable")
         self.members, self.member_start = by_node, np.searchsorted(terminal[by_node], np.arange(n + 1))
-        self.inner = self.child_count > 0
-
-    def partners(self, i: int, mark: np.ndarray, percent: int, component: np.ndarray) -> np.ndarray:
-        """Sets that link with set i and aren't in its component. mark: True at the ranks of set i."""
-        own, size = self.sets[i], int(self.sizes[i])
-        nodes, overlap = np.array([0]), np.zeros(1, np.int64)
-        found: list[np.ndarray] = []
+        self.lone = (self.child_count == 0) & (np.diff(self.member_start) == 1)
+        self.only = self.members[np.minimum(self.member_start[:-1], len(sets) - 1)]
+
+    def partners(self, probes: np.ndarray, percent: int, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (probe, later set) that link and aren't in one component. All probes go down the trie together."""
+        lengths = np.array([len(self.sets[i]) for i in probes])
+        mark = np.zeros((len(probes), self.n_ranks), bool)
+        mark[np.repeat(np.arange(len(probes)), lengths), np.concatenate([self.sets[i] for i in probes])] = True
+        passed = np.zeros((len(probes), self.n_ranks + 1), np.int32)
+        np.cumsum(mark, axis=1, out=passed[:, 1:])
+        sizes, own = self.sizes[probes], component[probes]
+        who, nodes, overlap = np.arange(len(probes)), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64)
+        left, right = [], []
         while len(nodes):
             # sets that end here
             count = self.member_start[nodes + 1] - self.member_start[nodes]
-            ends = tb.ragged(self.members, self.member_start[nodes], count)
-            if len(ends):
-                both = np.repeat(overlap, count)
-                link = (100 * both >= percent * (size + self.sizes[ends] - both)) & (component[ends] != component[i])
-                found.append(ends[link])
+            if count.any():
+                ends = tb.ragged(self.members, self.member_start[nodes], count)
+                w, both = np.repeat(who, count), np.repeat(overlap, count)
+                link = (100 * both >= percent * (sizes[w] + self.sizes[ends] - both)) & (component[ends] != own[w]) & (ends > probes[w])
+                left.append(probes[w[link]])
+                right.append(ends[link])
             count = self.child_count[nodes]
             below = tb.ragged(self.children, self.child_start[nodes], count)
+            w, carried = np.repeat(who, count), np.repeat(overlap, count)
+            # sizes, subtrees of earlier sets only, and lone leaves that are connected with the probe already
+            keep = (self.top[below] > probes[w]) & (100 * self.high[below] >= percent * sizes[w]) & (100 * sizes[w] >= percent * self.low[below])
+            keep &= ~(self.lone[below] & (component[self.only[below]] == own[w]))
+            below, w, carried = below[keep], w[keep], carried[keep]
             if not len(below):
                 break
-            carried = np.repeat(overlap, count)
-            # sizes, and leaves that are connected with set i already
-            keep = (100 * self.high[below] >= percent * size) & (100 * size >= percent * self.low[below])
-            lone = np.flatnonzero(~self.inner[below] & (self.member_start[below + 1] - self.member_start[below] == 1))
-            keep[lone] &= component[self.members[self.member_start[below[lone]]]] != component[i]
-            below, carried = below[keep], carried[keep]
-            if not len(below):
-                break
-            hits = mark[tb.ragged(self.flat, self.start[below], self.length[below])]
+            length = self.length[below]
+            hits = mark[np.repeat(w, length), tb.ragged(self.flat, self.start[below], length)]
             total = np.concatenate(([0], np.cumsum(hits)))
-            edge = np.cumsum(self.length[below])
-            carried = carried + total[edge] - total[edge - self.length[below]]
-            # remaining length: of set i beyond this path, and of the longest set below
-            rest = np.minimum(len(own) - np.searchsorted(own, self.last[below], "right"), self.left[below])
-            need = -(-percent * (size + self.low[below]) // (100 + percent))
+            edge = np.cumsum(length)
+            carried = carried + total[edge] - total[edge - length]
+            # remaining length: of the probe beyond this path, and of the longest set below
+            rest = np.minimum(lengths[w] - passed[w, self.last[below] + 1], self.left[below])
+            need = -(-percent * (sizes[w] + self.low[below]) // (100 + percent))
             keep = carried + rest >= need
-            nodes, overlap = below[keep], carried[keep]
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+            who, nodes, overlap = w[keep], below[keep], carried[keep]
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(left or none), np.concatenate(right or none)
+
+
+#: Probes go together while they have so many marks at most.
+MARKS = 4 << 20
 
 
 def join_list(keys: list[np.ndarray], sizes: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
     """Components of a list of sets after its links; component: the ones known before."""
     values = np.unique(np.concatenate(keys))
-    trie = Trie([np.searchsorted(values, k) for k in keys], sizes)
-    component, mark = component.copy(), np.zeros(len(values), bool)
-    for i in range(len(keys)):
-        mark[trie.sets[i]] = True
-        partners = trie.partners(i, mark, percent, component)
-        mark[trie.sets[i]] = False
-        if len(partners):
-            together = np.unique(component[np.append(partners, i)])
-            component[np.isin(component, together)] = together[0]
+    trie = Trie([np.searchsorted(values, k) for k in keys], sizes, len(values))
+    component = component.copy()
+    together = max(1, min(64, MARKS // len(values)))
+    for begin in range(0, len(keys), together):
+        a, b = trie.partners(np.arange(begin, min(begin + together, len(keys))), percent, component)
+        parent: dict[int, int] = {}
+
+        def find(x: int, parent=parent) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for x, y in np.unique(np.stack((component[a], component[b]), axis=1), axis=0).tolist() if len(a) else []:
+            parent[find(x)] = find(y)
+        for x in parent:
+            component[component == x] = find(x)
     return component
 
 
