@@ -55,7 +55,11 @@ def features(column: pa.Array) -> np.ndarray:
     per_word = np.maximum(n, 1)
     chars = np.maximum(words.chars(), 1)
     text = np.repeat(np.arange(len(n)), n)
-    unique = np.bincount(np.unique(text * (int(words.codes.max(initial=0)) + 1) + words.codes) // (int(words.codes.max(initial=0)) + 1), minlength=len(n))
+    n_codes = int(words.codes.max(initial=0)) + 1
+    pairs = np.sort(text * n_codes + words.codes)
+    fresh = np.ones(len(pairs), bool)
+    fresh[1:] = pairs[1:] != pairs[:-1]
+    unique = np.bincount(pairs[fresh] // n_codes, minlength=len(n))
     again = np.zeros(len(words.codes), bool)
     again[1:] = (words.codes[1:] == words.codes[:-1]) & (text[1:] == text[:-1])
     shares = [tb.per_text(t[data], at) / chars for t in (_UPPER, _DIGIT, _SYMBOL, _SHOUT, _BAR)]
@@ -153,10 +157,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, set
     if model is None:
         return docs.select(*keep, host.alias("__host"), path.alias("__path"), F.lit(0.0).alias("evidence"), F.lit(0.0).alias("score"), F.lit(True).alias("kept"))
     sited = docs.select("*", host.alias("__host"), path.alias("__path"))
-    narrow = evidence(sited, model, text_col, ["__host", "__path"]).withColumnsRenamed({"__host": "host", "__path": "path"})
-    sites, base = site_posteriors(narrow)
-    sites = tables.small_or_not(tables.written(sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "path_odds"), "quality-sites"))
     scored = evidence(sited, model, text_col, [*keep, "__host", "__path"])
+    if text_col in keep:  # texts are read twice rather than written
+        narrow = evidence(sited, model, text_col, ["__host", "__path"])
+    else:
+        narrow = scored = tables.written(scored, "quality-evidence")
+    sites, base = site_posteriors(narrow.select(F.col("__host").alias("host"), F.col("__path").alias("path"), "evidence"))
+    sites = tables.small_or_not(tables.written(sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "path_odds"), "quality-sites"))
     found = scored.join(sites, scored["__host"].eqNullSafe(sites.site_host) & scored["__path"].eqNullSafe(sites.site_path), "left")
     odds = F.col("evidence") + settings.site_weight * (F.coalesce("path_odds", F.lit(base)) - base)
     score = 1 / (1 + F.exp(-odds))
