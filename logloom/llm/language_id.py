@@ -244,8 +244,11 @@ def _calibrate(model: Model, rows: DataFrame, settings: Settings, id_col: str, t
     if not model.langs:
         return
     narrow = rows.select(id_col, lang_col).dropDuplicates([id_col])
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = narrow.withColumn("k", F.row_number().over(order)).where(F.col("k") <= settings.sample).select(id_col)
+    # dealt by hash, so that no language's rows meet in one task
+    parts = 50
+    order = Window.partitionBy(lang_col, "part").orderBy(F.xxhash64(id_col), id_col)
+    narrow = narrow.withColumn("part", F.pmod(F.hash(id_col), F.lit(parts)))
+    chosen = narrow.withColumn("k", F.row_number().over(order)).where(F.col("k") <= settings.sample // parts).select(id_col)
     shipped = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
