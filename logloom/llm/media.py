@@ -180,4 +180,4 @@ def read_media(media: DataFrame) -> DataFrame:
 def resolve(items: DataFrame, id_col: str, read: DataFrame) -> DataFrame:
     """A row for each media reference, with position, caption and the payload's columns."""
     refs = items.select(id_col, F.explode("items").alias("item")).where("item.kind = 'media'").select(id_col, "item.position", "item.caption", F.regexp_replace("item.ref", "^sha256:", "").alias("digest"))
-    return refs.join(read, "digest", "left")
+    return tables.salted_join(refs, read, "digest")

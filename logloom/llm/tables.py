@@ -42,3 +42,16 @@ def small_or_not(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int = 1_000, salts: int = 32) -> DataFrame:
+    """left join on ``key``, of which ``right`` has one row a value. Keys with more than ``hot_rows`` rows on the left are dealt over ``salts`` tasks."""
+    from pyspark.sql import functions as F
+
+    hot = written(left.groupBy(key).count().where(F.col("count") > hot_rows).select(key, F.lit(True).alias("__hot")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key, "left")
+    hot = small_or_not(hot)
+    dealt = left.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
+    copied = right.join(hot, key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return dealt.join(copied, [key, "__salt"], "left").drop("__salt")

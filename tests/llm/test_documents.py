@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logloom.llm import language_id, media, ngram_join, pii, quality_classifier, quality_rules, queries, textblocks
+from logloom.llm import language_id, media, ngram_join, pii, quality_classifier, quality_rules, queries, tables, textblocks
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -35,6 +35,13 @@ def test_media_payloads(request, spark, tmp_path):
         assert all(len({(r.media_sha256, r.media_bytes) for r in got if r.payload_sha256 == d}) == 1 for d in {r.payload_sha256 for r in got})
 
 
+def test_salted_join_equals_a_plain_one(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(200)] + [(999, None)], "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("k2", 2)], "k string, v int")
+    got = tables.salted_join(left, right, "k", hot_rows=20, salts=5)
+    assert sorted(map(str, got.select("k", "i", "v").collect())) == sorted(map(str, left.join(right, "k", "left").select("k", "i", "v").collect()))
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.binary(min_size=0, max_size=1500))
 def test_png_round_trip(data):
