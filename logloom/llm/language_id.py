@@ -5,8 +5,9 @@ learning documents. Orders 1 to 3 use continuation counts; each order has its ow
 n2). A model is stored as sorted arrays of hashed n-grams and contexts with their weights; hashes have
 ``hash_bits`` bits, so an order of a language never has more than 2 ** hash_bits entries, which bounds the
 broadcast. A text gets the language of lowest cross-entropy per character. The score is a softmax of the
-entropies whose scale is calibrated on a bounded sample of learning documents; a text is rejected if its best
-entropy lies above what that language's sample reaches, by a margin.
+entropies whose scale is calibrated on all learning documents. A text is rejected if its best entropy lies far above
+the median of that language's learning documents, counted in a histogram over all of them; medians and quantiles, so
+that a few odd or mislabelled documents don't move the limit.
 
 Cases: null text, or one without a letter: ``und``, score 0, rejected. Equal texts get equal results; a tie goes
 to the language that sorts first. Rows with null language aren't learned from. With no language learned every
@@ -38,13 +39,18 @@ _LETTER[128:] = True
 @dataclasses.dataclass(frozen=True)
 class Settings:
     hash_bits: int = 22
-    #: Learning documents of lowest hash, for each language at most so many, on which scale and rejection are calibrated.
-    sample: int = 1_000
-    #: A text is rejected beyond the sample's mean entropy plus so many times its spread, and beyond ``slack`` times its maximum.
+    #: A text is rejected beyond the median entropy of its language's learning documents plus so many times their spread
+    #: (from the median to the quantile one standard deviation above it), and beyond ``slack`` times that median; and
+    #: beyond all but a hundredth of them.
     spreads: float = 8.0
     slack: float = 2.0
 
 
+#: Candidates for the softmax scale, and bins of the entropy histogram in a bit (an entropy is below 40 bits).
+SCALES = (0.5, 1, 2, 4, 8, 16, 32)
+BINS = 256
+
+
 class _Grams:
     """4-grams of the distinct words of a block. grams: code points (n, 4); word: the word of each."""
 
@@ -233,49 +239,50 @@ def train(docs: DataFrame, learn: Column, settings: Settings = Settings(), id_co
                 store[i, order] = (key[some].astype(np.uint64), value[some].astype(np.float64))
     everything = max(characters.values(), default=0) + 1
     model = Model(langs, grams, contexts, np.full(len(langs), 1 / (2.0 * everything)), settings.hash_bits)
-    _calibrate(model, rows, settings, id_col, text_col, lang_col)
+    _calibrate(model, rows, settings, text_col, lang_col)
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame, settings: Settings, id_col: str, text_col: str, lang_col: str) -> None:
-    """Scale and rejection limits from at most ``sample`` rows a language."""
-    from pyspark.sql import Window
-
+def _calibrate(model: Model, rows: DataFrame, settings: Settings, text_col: str, lang_col: str) -> None:
+    """Scale and rejection limits from all rows: a histogram of own entropies by language, and the loss of each scale."""
     if not model.langs:
         return
-    narrow = rows.select(id_col, lang_col).dropDuplicates([id_col])
-    # dealt by hash, so that no language's rows meet in one task
-    parts = 50
-    order = Window.partitionBy(lang_col, "part").orderBy(F.xxhash64(id_col), id_col)
-    narrow = narrow.withColumn("part", F.pmod(F.hash(id_col), F.lit(parts)))
-    chosen = narrow.withColumn("k", F.row_number().over(order)).where(F.col("k") <= settings.sample // parts).select(id_col)
     shipped = rows.sparkSession.sparkContext.broadcast(model)
+    names = ["lang", "bin", "n", *[f"loss{k}" for k in range(len(SCALES))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {name: i for i, name in enumerate(shipped.value.langs)}
         for batch in batches:
             for part in tb.blocks(batch, text_col):
                 bits, chars = shipped.value.measure(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(chars)], ["lang", "bits", "chars"])
-
-    got = rows.join(F.broadcast(chosen), id_col).select(F.col(lang_col).alias("lang"), text_col).mapInArrow(run, "lang string, bits array<double>, chars long").where("chars > 0").toArrow()
+                some = np.flatnonzero(chars > 0)
+                if not len(some):
+                    continue
+                bits, truth = bits[some], np.array([place[x] for x in part.column(0).to_pylist()])[some]
+                own = bits[np.arange(len(bits)), truth]
+                cell, inverse, n = np.unique(truth * (40 * BINS) + (own * BINS).astype(np.int64), return_inverse=True, return_counts=True)
+                sums = []
+                for scale in SCALES:
+                    odds = -scale * (bits - bits.min(axis=1, keepdims=True))
+                    loss = np.log(np.exp(odds).sum(axis=1)) - odds[np.arange(len(odds)), truth]
+                    sums.append(np.bincount(inverse, weights=np.rint(loss * 1e6)).astype(np.int64))  # whole numbers: any order gives one sum
+                lang = pa.array([shipped.value.langs[i] for i in (cell // (40 * BINS)).tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([lang, *map(pa.array, (cell % (40 * BINS), n, *sums))], names)
+
+    found = rows.select(lang_col, text_col).mapInArrow(run, "lang string, " + ", ".join(f"{c} long" for c in names[1:]))
+    got = found.groupBy("lang", "bin").agg(*[F.sum(c).alias(c) for c in names[2:]]).toArrow()
     model.limit = np.full(len(model.langs), np.inf)
     if not got.num_rows:
         return
-    bits = np.array(got["bits"].to_pylist())
-    truth = np.array([model.langs.index(x) for x in got["lang"].to_pylist()])
-    order_ = np.lexsort(np.column_stack((bits, truth)).T)
-    bits, truth = bits[order_], truth[order_]
-    own = bits[np.arange(len(bits)), truth]
-
-    def loss(scale: float) -> float:
-        odds = -scale * (bits - bits.min(axis=1, keepdims=True))
-        return float((np.log(np.exp(odds).sum(axis=1)) - odds[np.arange(len(odds)), truth]).mean())
-
-    model.scale = min((0.5, 1, 2, 4, 8, 16, 32), key=loss)
-    for i in range(len(model.langs)):
-        mine = own[truth == i]
+    columns = {c: got[c].to_numpy(zero_copy_only=False) for c in names}
+    model.scale = SCALES[int(np.argmin([sum(columns[c].tolist()) for c in names[3:]]))]
+    for i, name in enumerate(model.langs):
+        mine = np.flatnonzero(columns["lang"] == name)
         if len(mine):
-            model.limit[i] = max(mine.mean() + settings.spreads * mine.std(), settings.slack * mine.max())
+            mine = mine[np.argsort(columns["bin"][mine])]
+            below = np.cumsum(columns["n"][mine])
+            middle, above, high = ((columns["bin"][mine][np.searchsorted(below, q * below[-1])] + 1) / BINS for q in (0.5, 0.8413, 0.99))
+            model.limit[i] = max(middle + settings.spreads * (above - middle), settings.slack * middle, high)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -142,6 +142,25 @@ def test_language_cases(spark, docs, hard, none):
     assert language_id.identify(none, model).count() == 0
 
 
+def test_rejection_outlasts_an_odd_learning_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "".join(chr(0x4E00 + 37 * k) for k in range(300)), "fr")], docs.schema)
+    for left_out in ("en", "es"):
+        learn = F.col("lang") != left_out
+        clean, spoiled = language_id.train(docs, learn), language_id.train(docs.unionByName(odd), learn)
+        assert np.abs(clean.limit - spoiled.limit).max() < 0.1
+        got = language_id.identify(docs, spoiled, keep=["lang"]).where("bits_per_char > 0").groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()
+        assert all(r.share > 0.98 if r.lang == left_out else r.share < 0.01 for r in got)
+
+
+def test_calibration_covers_all_rows(spark):
+    texts = ["abab abba"] * 3_000 + ["zqxjkvwp"] * 10
+    df = spark.createDataFrame([(i, t, "l") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.train(df, F.lit(True))
+    own = float(model.measure(pa.array(texts[:1]))[0][0, 0])
+    assert abs(model.limit[0] - 2 * own) < 0.02
+
+
 def test_kneser_ney_by_hand(spark):
     texts = ["abab ba", "aab b"]
     df = spark.createDataFrame([(i, t, "l") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
