@@ -177,9 +177,9 @@ class Model:
         low = bits[np.arange(n), best]
         score = 1 / np.exp(-self.scale * (bits - low[:, None])).sum(axis=1)
         some = chars > 0
-        for row in np.flatnonzero(some):  # bytes beyond ASCII need not be letters
-            if chars[row] < 64:
-                some[row] = any(c.isalpha() for c in column[int(row)].as_py())
+        plain = pc.fill_null(pc.match_substring_regex(column, "[A-Za-z]"), False).to_numpy(zero_copy_only=False)
+        for row in np.flatnonzero(some & ~plain):  # bytes beyond ASCII need not be letters
+            some[row] = any(map(str.isalpha, set(column[int(row)].as_py())))
         rejected = ~some | (low > (self.limit[best] if self.limit is not None else np.inf))
         return [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, score, 0.0), low, rejected
 

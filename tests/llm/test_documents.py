@@ -161,6 +161,15 @@ def test_calibration_covers_all_rows(spark):
     assert abs(model.limit[0] - 2 * own) < 0.02
 
 
+def test_texts_without_a_letter_of_any_length(spark, docs):
+    model = language_id.train(docs, F.lit(True))
+    texts = [" ".join(c * 100) for c in "—€•😀①"] + ["1 — 2 € 3 • " * 500, "—" * 5000, "— " * 100 + "é", "— " * 100 + "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in range(7))
+    assert got[7].lang_pred in model.langs and got[8].lang_pred in model.langs
+
+
 def test_kneser_ney_by_hand(spark):
     texts = ["abab ba", "aab b"]
     df = spark.createDataFrame([(i, t, "l") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
