@@ -36,7 +36,7 @@ class LogEngine:
         path = f"{self.root}/{name}"
         if not self._exists(path):
             return self.spark.createDataFrame([], self.tables[name])
-        return self.spark.read.schema(self.tables[name]).parquet(path)
+        return self.spark.read.schema(self.tables[name]).option("recursiveFileLookup", "true").parquet(path)
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -173,6 +173,7 @@ class LogEngine:
         return registry.statuses(self.table("statuses"))
 
     def dead_letters(self) -> DataFrame:
+        """Those of single batches, and of streams in a folder for each of their batches."""
         return self.table("dead_letters")
 
     def events(self, topics: list[str] | None = None) -> DataFrame:

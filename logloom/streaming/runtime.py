@@ -2,7 +2,8 @@
 
 Both work on micro-batches. The source appends a batch under its name, so a batch that is run again isn't appended
 twice. The sink delivers record by record with retries on the executors, writes dead letters and a report under
-the batch's name, and then its checkpoint (at least once), or claims the batch first (at most once).
+the batch's name, and then its checkpoint (at least once), or claims the batch and writes its checkpoint first (at
+most once). A batch that is run again replaces what it wrote. A connector's name goes with one checkpoint folder.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -64,15 +65,20 @@ def deliver_one(sink: Callable[[dict], None], record: dict, options: SinkOptions
 
 
 def delivered(rows: DataFrame, sink: Callable[[dict], None], options: SinkOptions) -> DataFrame:
-    """partition, offset, payload and reason (null: delivered) of each record, after delivery on the executors."""
+    """topic, partition, offset, payload and reason (null: delivered) of each record, after delivery on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows_ = batch.to_pylist()
             reasons = [deliver_one(sink, r, options) for r in rows_]
-            yield pa.RecordBatch.from_arrays([*batch.select(["partition", "offset", "payload"]).columns, pa.array(reasons, pa.string())], ["partition", "offset", "payload", "reason"])
+            yield pa.RecordBatch.from_arrays([*batch.select(["topic", "partition", "offset", "payload"]).columns, pa.array(reasons, pa.string())], ["topic", "partition", "offset", "payload", "reason"])
 
-    return rows.select("partition", "offset", "timestamp", "key", "payload").mapInArrow(run, "partition int, offset long, payload binary, reason string")
+    return rows.select("topic", "partition", "offset", "timestamp", "key", "payload").mapInArrow(run, "topic string, partition int, offset long, payload binary, reason string")
+
+
+def dead_rows(done: DataFrame, connector: str, options: SinkOptions) -> DataFrame:
+    """The dead letters among delivered rows."""
+    return done.where("reason is not null").select(F.lit(connector).alias("connector"), "topic", "partition", "offset", "payload", "reason", F.lit(max(options.max_attempts, 1)).cast("int").alias("attempts"), F.current_timestamp().alias("failed_at"))
 
 
 def run_once(engine: LogEngine, connector: str, topic: str, partition: int, sink: Callable[[dict], None], options: SinkOptions = SinkOptions()) -> dict:
@@ -89,10 +95,9 @@ def run_once(engine: LogEngine, connector: str, topic: str, partition: int, sink
     path = f"{engine.root}/deliveries/{connector}/{topic}/{partition}/{begin}"
     delivered(rows, sink, options).write.mode("overwrite").parquet(path)
     done = engine.spark.read.parquet(path)
-    failed = done.where("reason is not null")
     counts = done.agg(F.count("*").alias("n"), F.count("reason").alias("dead")).first()
     if counts.dead:
-        failed.select(F.lit(connector).alias("connector"), F.lit(topic).alias("topic"), "partition", "offset", "payload", "reason", F.lit(max(options.max_attempts, 1)).cast("int").alias("attempts"), F.current_timestamp().alias("failed_at")).write.mode("append").parquet(f"{engine.root}/dead_letters")
+        dead_rows(done, connector, options).write.mode("append").parquet(f"{engine.root}/dead_letters")
     if options.guarantee == "at_least_once":
         engine.save_checkpoint(connector, topic, partition, stop)
     return {"polled": counts.n, "delivered": counts.n - counts.dead, "dead_lettered": counts.dead, "checkpoint": stop}
@@ -120,17 +125,53 @@ def source_to_log(engine: LogEngine, stream: DataFrame, topic: str, partition: i
 
 
 def log_to_sink(engine: LogEngine, connector: str, rows: DataFrame, sink: Callable[[dict], None], options: SinkOptions, checkpoint: str, **trigger) -> StreamingQuery:
-    """Delivers a stream of log rows. At most once: a batch is claimed before its delivery, and one that was claimed is passed over."""
+    """Delivers a stream of log rows. At most once: a batch is claimed before its delivery, and one that was claimed isn't delivered again."""
+
+    def save(rows_: DataFrame) -> None:
+        """Moves the checkpoints past the rows; never back."""
+        ends = rows_.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("end")).collect()  # a row a partition
+        with engine.lock:
+            known = {(r.topic, r.partition): r.offset for r in engine.table("checkpoints").where(F.col("connector") == connector).groupBy("topic", "partition").agg(F.max("offset").alias("offset")).collect()}
+            new = [(connector, r.topic, r.partition, r.end, time.time_ns()) for r in ends if r.end > known.get((r.topic, r.partition), 0)]
+            if new:
+                engine._add("checkpoints", new)
+
+    def report(done: DataFrame, number: int) -> None:
+        """Dead letters and counts of a batch under its name, and the connector's status from the counts of all batches."""
+        spark, name = done.sparkSession, f"connector={connector}/batch={number}"
+        counts = done.agg(F.count("*").alias("n"), F.count("reason").alias("dead")).first()
+        dead = f"{engine.root}/dead_letters/{name}"
+        if counts.dead or engine._exists(dead):
+            dead_rows(done, connector, options).write.mode("overwrite").parquet(dead)
+        spark.createDataFrame([(counts.n - counts.dead, counts.dead)], "delivered long, dead_lettered long").coalesce(1).write.mode("overwrite").parquet(f"{engine.root}/sink_reports/{name}")
+
+    def tell(spark: SparkSession) -> None:
+        reports = f"{engine.root}/sink_reports/connector={connector}"
+        if engine._exists(reports):
+            total = spark.read.schema("delivered long, dead_lettered long").option("recursiveFileLookup", "true").parquet(reports).agg(F.sum("delivered"), F.sum("dead_lettered")).first()
+            with engine.lock:
+                last = engine.table("checkpoints").where(F.col("connector") == connector).agg(F.max("offset")).first()[0]
+                engine.report((connector, "sink", options.guarantee.replace("_", "-"), True, total[0] or 0, total[1] or 0, last or 0))
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         base = f"{engine.root}/claims/{connector}/{number}"
-        if options.guarantee == "at_most_once":
-            if engine._exists(base):
-                return
-            spark.createDataFrame([(number,)], "batch long").coalesce(1).write.parquet(base)
         out = f"{engine.root}/deliveries/{connector}/batch={number}"
-        delivered(batch, sink, options).write.mode("overwrite").parquet(out)
+        claimed = False
+        if options.guarantee == "at_most_once":
+            claimed = engine._exists(base)
+            if not claimed:
+                spark.createDataFrame([(number,)], "batch long").coalesce(1).write.parquet(base)
+            save(batch)
+        if not claimed:
+            delivered(batch, sink, options).write.mode("overwrite").parquet(out)
+        elif not engine._exists(f"{out}/_SUCCESS"):
+            return  # its delivery broke off: what became of its records isn't known
+        done = spark.read.parquet(out)
+        report(done, number)
+        if options.guarantee == "at_least_once":
+            save(done)
+        tell(spark)
 
     return rows.writeStream.queryName(connector).option("checkpointLocation", checkpoint).foreachBatch(handle).trigger(**trigger).start()
 
