@@ -34,10 +34,13 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: IPv6: eight groups, or fewer around one ``::`` (at least one group, so that a bare ``::`` is none).
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_SHORT = "|".join([rf":(?::{_GROUP}){{1,7}}", *[rf"(?:{_GROUP}:){{1,{k}}}(?::{_GROUP}){{1,{7 - k}}}" for k in range(1, 7)], rf"(?:{_GROUP}:){{1,7}}:"])
 #: Looser patterns of the method.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}+(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]{1,63}+){1,4}+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ip": rf"(?<![0-9A-Fa-f:])(?:{_GROUP}:){{7}}{_GROUP}(?![0-9A-Fa-f:])|(?<![0-9A-Za-z_:])(?:{_SHORT})(?![0-9A-Za-z_]|:[0-9A-Za-z_:])",
     "phone": r"(?<![0-9+(.-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Mme|Herr|Frau|Sr|Sra)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
@@ -128,7 +131,7 @@ def candidates(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
         some = F.filter(matches(text, pattern, kind, "base"), _checked(kind))
         has = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else "[0-9]")
         base.append(F.when(has, some).otherwise(F.array().cast(NONE)))
-    has = {"email": text.rlike(r"[(\[]at[)\]]"), "ip": text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]"), "phone": numbers, "name": text.rlike(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Mme|Herr|Frau|Sr|Sra)\.? \p{Lu}")}
+    has = {"email": text.rlike(r"[(\[]at[)\]]"), "ip": text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]"), "phone": numbers, "name": text.rlike(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Mme|Herr|Frau|Sr|Sra)\.? \p{Lu}")}
     loose = [F.when(has[kind], matches(text, pattern, kind, "loose")).otherwise(F.array().cast(NONE)) for kind, pattern in LOOSE.items()]
     found = docs.select(*keep, F.col(text_col).alias("__text")).select(*keep, F.concat(*base).alias("base"), F.concat(*loose).alias("__loose"))
     free = F.filter("__loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))

@@ -170,6 +170,14 @@ def test_texts_without_a_letter_of_any_length(spark, docs):
     assert got[7].lang_pred in model.langs and got[8].lang_pred in model.langs
 
 
+def test_short_ipv6_addresses_are_candidates(spark):
+    takes = ["2001:db8::1", "fe80::1", "::1", "2001:db8::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::4:5:6:7:8", "2001:DB8:0:0:8::417A", "1:2:3:4:5:6:7:8"]
+    leaves = ["::", "std::vector", ":::1", "1::2::3", "1:2:3:4:5:6:7::8:9", "12345::1", "x::1", "12:30"]
+    df = spark.createDataFrame([(i, f"host {t}, up") for i, t in enumerate(takes + leaves)], "doc_id int, text string")
+    got = {r.doc_id: [(x.kind, x.start, x.found) for x in r.loose] for r in pii.candidates(df).collect()}
+    assert [got[i] for i in range(len(got))] == [[("ip", 5, t)] for t in takes] + [[] for _ in leaves]
+
+
 def test_kneser_ney_by_hand(spark):
     texts = ["abab ba", "aab b"]
     df = spark.createDataFrame([(i, t, "l") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
