@@ -362,10 +362,11 @@ def _joined(percent: int):
     return run
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """id, component (smallest id reachable) of all ids in edges (a, b), by alternating large and small stars.
 
-    Each round is written to the shared folder; only a count and a sum of hashes come back to see whether it changed.
+    Runs until nothing changes; with ``most_rounds``, fails if that isn't enough. Each round is written to the shared
+    folder; only a count and a sum of hashes come back to see whether it changed.
     """
 
     def mark(df: DataFrame) -> tuple:
@@ -373,9 +374,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     now = tables.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = mark(now)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    rounds = 0
+    while seen[0]:
+        if rounds == most_rounds:
+            raise RuntimeError(f"components have not settled in {most_rounds} rounds")
+        rounds += 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()

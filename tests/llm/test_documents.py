@@ -170,6 +170,13 @@ def test_texts_without_a_letter_of_any_length(spark, docs):
     assert got[7].lang_pred in model.langs and got[8].lang_pred in model.langs
 
 
+def test_components_are_whole_or_fail(spark):
+    path = spark.createDataFrame([((i * 37) % 101, ((i + 1) * 37) % 101) for i in range(100)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        ngram_join.components(path, most_rounds=1)
+    assert {(r.id, r.component) for r in ngram_join.components(path).collect()} >= {(i, 0) for i in range(1, 101)}
+
+
 def test_short_ipv6_addresses_are_candidates(spark):
     takes = ["2001:db8::1", "fe80::1", "::1", "2001:db8::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::4:5:6:7:8", "2001:DB8:0:0:8::417A", "1:2:3:4:5:6:7:8"]
     leaves = ["::", "std::vector", ":::1", "1::2::3", "1:2:3:4:5:6:7::8:9", "12345::1", "x::1", "12:30"]
