@@ -1,4 +1,4 @@
-"""Sink delivery as plans over rows: outcomes, dead letters, batch reports, checkpoints, retries, replays."""
+"""Sink delivery as plans over rows: outcomes, dead letters, batch reports, checkpoints, waits."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom import schemas
+from logloom.operators import fetch
 
 
 def poisoned(offset: Column, fail_every: int) -> Column:
@@ -38,14 +39,7 @@ def latest(versions: DataFrame, keys: list[str], value: str, version: str = "ver
 def resumed(log: DataFrame, checkpoints: DataFrame, connector: str) -> DataFrame:
     """Records at or after the connector's checkpoint; from the start where there is none."""
     own = checkpoints.where(F.col("connector") == connector).select("partition", F.col("offset").alias("from_offset"))
-    return log.join(F.broadcast(own), "partition", "left").where(F.col("offset") >= F.coalesce("from_offset", F.lit(0)))
-
-
-def retried(failures: Column, permanent: Column, max_attempts: int) -> tuple[Column, Column]:
-    """Outcome and attempts made of a record that fails ``failures`` times in passing, or for good."""
-    most = max(max_attempts, 1)
-    made = F.when(permanent, 1).otherwise(F.least(failures + 1, F.lit(most))).cast("int")
-    return F.when(permanent, "permanent").when(failures < most, "delivered").otherwise("exhausted"), made
+    return log.join(fetch.narrow(own), "partition", "left").where(F.col("offset") >= F.coalesce("from_offset", F.lit(0)))
 
 
 def backoff_bounds(attempt: Column, base_ms: int, max_ms: int) -> tuple[Column, Column]:
@@ -54,13 +48,5 @@ def backoff_bounds(attempt: Column, base_ms: int, max_ms: int) -> tuple[Column,
     return (full / 2).cast("double"), full.cast("double")
 
 
-def replay(counts: DataFrame, batch_size: int, crash_batch: int, crash_after: int, guarantee: str) -> DataFrame:
-    """What a crash in one batch and a restart leave: delivered_once, delivered_twice, lost. counts: partition, n."""
-    size = F.greatest(F.lit(0), F.least(F.lit(batch_size), F.col("n") - crash_batch * batch_size))
-    done = F.least(F.lit(crash_after), size)
-    twice, lost = (done, F.lit(0)) if guarantee == "at_least_once" else (F.lit(0), size - done)
-    return counts.select("partition", (F.col("n") - twice - lost).cast("long").alias("delivered_once"), twice.cast("long").alias("delivered_twice"), lost.cast("long").alias("lost"))
-
-
 def retryable(error_class: Column) -> Column:
     return error_class.isin(*schemas.RETRYABLE)

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Up to so many rows a row a partition may be broadcast; beyond it Spark shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def narrow(bounds: DataFrame) -> DataFrame:
+    """The side of a join that has a row a partition: with a broadcast hint if it is small, counted."""
+    return F.broadcast(bounds) if bounds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else bounds
+
 
 def clamped(most: int, fetch_max: int) -> int:
     return min(max(most, 1), fetch_max)
@@ -19,6 +27,16 @@ def fetch(log: DataFrame, partition: int, start: int, most: int, first_offset: i
     return rows.orderBy("offset").limit(most)
 
 
+def head(records: DataFrame, seq: str, start: int, most: int) -> DataFrame:
+    """Of one partition's records, not numbered yet, those with offsets from ``start`` on, at most ``most``, with ``offset``.
+
+    Each task keeps its first start + most rows; only these meet, and only these are numbered.
+    """
+    first = records.orderBy(seq).limit(start + most)
+    numbered = first.withColumn("offset", (F.row_number().over(Window.orderBy(seq)) - 1).cast("long"))  # start + most rows
+    return numbered.where(F.col("offset") >= start).orderBy("offset")
+
+
 def cursors(log: DataFrame, requests: DataFrame, bounds: DataFrame) -> DataFrame:
     """partition, from_offset, n, next_offset, high_watermark of each request (partition, from_offset, max).
 

@@ -13,26 +13,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], dict], out: str) -> DataFrame:
-    """step(state, row) changes the state and returns an output row. Rows of a key come in the given order."""
-    schema = None
+def fold(rows: DataFrame, key: str, order: list[str], reads: list[str], start: Callable[[], object], step: Callable[..., tuple], keep: list[str], out: str) -> DataFrame:
+    """step(state, *values of ``reads``) changes the state and returns the values of ``out``; columns of ``keep`` stay beside them.
+
+    Rows of a key come in the given order. Columns go through as they are; only what a step reads becomes values.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kept = StructType([rows.schema[c] for c in keep])
+    made = StructType.fromDDL(out)
+    kinds = [f.type for f in to_arrow_schema(made)]
+    names = [*keep, *made.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, first = None, None, True
         for batch in batches:
-            made = []
-            for row in batch.to_pylist():
-                if first or row[key] != now:
-                    now, state, first = row[key], start(), False
-                made.append(step(state, row))
-            yield pa.RecordBatch.from_pylist(made, schema=schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+            results = []
+            for own, *values in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(1, len(reads) + 1)), strict=True):
+                if first or own != now:
+                    now, state, first = own, start(), False
+                results.append(step(state, *values))
+            columns = [pa.array(c, k) for c, k in zip(zip(*results, strict=True), kinds, strict=True)] if results else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(reads) + 1 :], *columns], names)
 
-    schema = to_arrow_schema(StructType.fromDDL(out))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, out)
+    sent = rows.repartition(n, key).sortWithinPartitions(key, *order).select(key, *reads, *keep)
+    return sent.mapInArrow(run, StructType(kept.fields + made.fields))
 
 
 class Bucket:

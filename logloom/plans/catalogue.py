@@ -6,15 +6,22 @@ Most run over the canonical log: topic ``events`` in 4 partitions, key ``user-<u
 
 from __future__ import annotations
 
+import contextlib
+import dataclasses
+import tempfile
+from collections import Counter
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom import schemas
+from logloom.engine import LogEngine, scratch
 from logloom.functions import framing, hashing, validate
 from logloom.operators import delivery, events, fetch, folds, logstats, offsets, registry, retention, routing
 from logloom.sources import generator, segments
+from logloom.streaming import runtime
 
 P, SEGMENT, KEEP, BATCH, FAIL, ATTEMPTS, PRODUCED = 4, 256, 1000, 500, 500, 3, 100
 HOUR = 3_600_000_000
@@ -155,21 +162,23 @@ def produce_results(spark, sf_dir):
 
 @query(f'WITH {LOG_SQL} SELECT "offset", key, payload FROM log WHERE partition = 0 AND "offset" >= 100 ORDER BY "offset" LIMIT 100')
 def fetch_range(spark, sf_dir):
-    return fetch.fetch(log(spark, sf_dir), 0, 100, 100).select("offset", "key", "payload")
+    """Offsets follow from the order of one partition's records: tasks keep their first 200, nothing else is numbered or shuffled."""
+    mine = routed(events_table(spark, sf_dir)).where(F.col("partition") == 0)
+    return fetch.head(mine, "seq", 100, 100).select("offset", "key", "payload")
 
 
 @query(f"""WITH {RECORDS_SQL}, one AS (SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS "offset", key, payload FROM records)
  SELECT 0 AS requested_max, * FROM one WHERE "offset" < 1 UNION ALL SELECT 5000 AS requested_max, * FROM one WHERE "offset" < 1024""")
 def fetch_max_clamp(spark, sf_dir):
-    one, most = log(spark, sf_dir, 1), schemas.LogOptions().fetch_max
-    parts = [fetch.fetch(one, 0, 0, fetch.clamped(m, most)).select(F.lit(m).alias("requested_max"), "offset", "key", "payload") for m in (0, 5000)]
+    one, most = events_table(spark, sf_dir), schemas.LogOptions().fetch_max
+    parts = [fetch.head(one, "seq", 0, fetch.clamped(m, most)).select(F.lit(m).alias("requested_max"), "offset", "key", "payload") for m in (0, 5000)]
     return parts[0].unionByName(parts[1])
 
 
 @query(f'WITH {COUNTS_SQL} SELECT partition, "offset" FROM log JOIN counts USING (partition) WHERE "offset" >= {start_sql("n")} AND "offset" < {start_sql("n")} + 100')
 def fetch_after_retention(spark, sf_dir):
     bounds = retention.segmented(counts(spark, sf_dir), SEGMENT, KEEP).select("partition", "start_offset")
-    rows = log(spark, sf_dir).join(F.broadcast(bounds), "partition")  # a row a partition
+    rows = log(spark, sf_dir).join(fetch.narrow(bounds), "partition")
     begin = F.greatest(F.lit(0), "start_offset")
     return rows.where((F.col("offset") >= begin) & (F.col("offset") < begin + 100)).select("partition", "offset")
 
@@ -319,7 +328,9 @@ def sink_delivery(spark, sf_dir):
 
 @query(f"WITH {COUNTS_SQL} SELECT partition, n AS delivered FROM counts")
 def sink_collect(spark, sf_dir):
-    return counts(spark, sf_dir).withColumnRenamed("n", "delivered")
+    """Every record goes through the runtime's delivery to a sink that never fails."""
+    done = runtime.delivered(log(spark, sf_dir), runtime.FailingSink(0), schemas.SinkOptions())
+    return done.where("reason is null").groupBy("partition").agg(F.count("*").alias("delivered"))
 
 
 @query(f"""WITH {LOG_SQL} SELECT 'sink-1' AS connector, topic, partition, "offset", payload, 'permanent failure: poison record at offset ' || "offset" AS reason, {ATTEMPTS} AS attempts FROM log WHERE "offset" % {FAIL} = 0""")
@@ -347,10 +358,36 @@ def checkpoint_resume(spark, sf_dir):
     return delivery.resumed(log(spark, sf_dir), saved, "sink-1").select("partition", "offset")
 
 
+class FlakySink:
+    """Fails for good as FailingSink does, and ``offset % 5`` times in passing."""
+
+    def __init__(self, fail_every: int):
+        self.fail_every, self.tries = fail_every, {}
+
+    def __call__(self, record: dict) -> None:
+        runtime.FailingSink(self.fail_every)(record)
+        at = record["topic"], record["partition"], record["offset"]
+        self.tries[at] = self.tries.get(at, 0) + 1
+        if self.tries[at] <= record["offset"] % 5:
+            raise runtime.SinkError("transient", f"try {self.tries[at]}")
+        del self.tries[at]
+
+
 @query(f"""WITH {LOG_SQL} SELECT partition, "offset", CASE WHEN "offset" % {FAIL} = 0 THEN 'permanent' WHEN "offset" % 5 < {ATTEMPTS} THEN 'delivered' ELSE 'exhausted' END AS outcome, (CASE WHEN "offset" % {FAIL} = 0 THEN 1 ELSE least("offset" % 5 + 1, {ATTEMPTS}) END)::INT AS attempts_made, CASE WHEN "offset" % {FAIL} = 0 OR "offset" % 5 >= {ATTEMPTS} THEN {ATTEMPTS} ELSE -1 END AS attempts_reported FROM log""")
 def retry_outcomes(spark, sf_dir):
-    outcome, made = delivery.retried(F.col("offset") % 5, delivery.poisoned(F.col("offset"), FAIL), ATTEMPTS)
-    return log(spark, sf_dir).select("partition", "offset", outcome.alias("outcome"), made.alias("attempts_made")).withColumn("attempts_reported", F.when(F.col("outcome") != "delivered", F.lit(ATTEMPTS)).otherwise(-1))
+    """The runtime's retries against a sink that fails in passing and for good; a dead letter reports the bound."""
+    done = runtime.delivered(log(spark, sf_dir), FlakySink(FAIL), schemas.SinkOptions(max_attempts=ATTEMPTS, base_backoff_ms=0))
+    outcome = F.when(F.col("reason").isNull(), "delivered").when(F.col("reason").startswith("permanent"), "permanent").otherwise("exhausted")
+    return done.select("partition", "offset", outcome.alias("outcome"), F.col("tries").alias("attempts_made"), F.when(F.col("reason").isNotNull(), F.lit(ATTEMPTS)).otherwise(-1).alias("attempts_reported"))
+
+
+_FAILURES = [("unavailable", "dependency unavailable"), ("not_found", "not found"), ("transient", "transient failure"), ("permanent", "permanent failure")]
+
+
+@query(f"SELECT class, text, class IN ('unavailable', 'transient') AS retryable FROM {sql_values(_FAILURES, 'class, text')}")
+def error_classes(spark, sf_dir):
+    found = values(spark, list(runtime.SinkError.WORDS.items()), "class string, text string")
+    return found.select("class", "text", delivery.retryable(F.col("class")).alias("retryable"))
 
 
 @query("SELECT i::INT AS attempt, least(20 * pow(2, least(i, 16)), 1000) / 2 AS lower_ms, least(20 * pow(2, least(i, 16)), 1000)::DOUBLE AS upper_ms FROM range(0, 21) t(i)")
@@ -359,18 +396,92 @@ def backoff_bounds(spark, sf_dir):
     return spark.range(21).select(F.col("id").cast("int").alias("attempt")).select("attempt", lower.alias("lower_ms"), upper.alias("upper_ms"))
 
 
+class Witness:
+    """A sink that writes down each offset, and dies after some records of a batch."""
+
+    def __init__(self, path: str, dies_at: int | None):
+        self.path, self.dies_at = path, dies_at
+
+    def __call__(self, record: dict) -> None:
+        if record["offset"] == self.dies_at:
+            raise RuntimeError("the sink dies")
+        with open(self.path, "a") as f:
+            f.write(f"{record['offset']}\n")
+
+
+CRASH = 2 * BATCH + 123
+
+
+def engine_of_events(spark: SparkSession, sf_dir: str, partitions: list[int], crash: bool = False) -> LogEngine:
+    """A log written by the engine, a named batch a partition. crash: its first attempts die between their rows and their commit."""
+    engine = LogEngine(spark, scratch(spark))
+    engine.create_topic("events", P, SEGMENT, 0)
+    records = routed(events_table(spark, sf_dir))
+    for p in partitions:
+        mine = records.where(F.col("partition") == p).select("seq", "key", "payload")
+        if crash:
+            dying = LogEngine(spark, engine.root)
+            dying._commit = lambda row: (_ for _ in ()).throw(ConnectionError("died before the commit"))
+            with contextlib.suppress(ConnectionError):
+                dying.append("events", p, mine, batch=f"load-{p}")
+        for _ in range(2):  # the second one is a replay of a batch that is known
+            engine.append("events", p, mine, batch=f"load-{p}")
+    return engine
+
+
+def replayed(spark: SparkSession, sf_dir: str, guarantee: str) -> DataFrame:
+    """Partition 0 delivered by the runtime, with a sink that dies in the third batch, and a restart."""
+    engine = engine_of_events(spark, sf_dir, [0])
+    seen = f"{tempfile.mkdtemp(prefix='logloom-')}/seen"  # beside the one task that delivers, on the driver's machine
+    n, options = engine._bounds("events", 0)[1], schemas.SinkOptions(guarantee=guarantee, batch_size=BATCH)
+    for _ in range(2):
+        if n > 0:
+            runtime.run_once(engine, "s", "events", 0, Witness(seen, None), options)
+    if n > CRASH:
+        with contextlib.suppress(Exception):
+            runtime.run_once(engine, "s", "events", 0, Witness(seen, CRASH), options)
+    runtime.drain(engine, "s", "events", 0, Witness(seen, None), dataclasses.replace(options, batch_size=1_000_000))
+    times = Counter(Path(seen).read_text().split()) if n else Counter()
+    row = (0, sum(c == 1 for c in times.values()), sum(c == 2 for c in times.values()), n - len(times))
+    return values(spark, [row], "partition int, delivered_once long, delivered_twice long, lost long")
+
+
 def replay_sql(twice: str, lost: str) -> str:
-    return f"WITH {COUNTS_SQL}, hit AS (SELECT partition, n, greatest(0, least({BATCH}, n - {2 * BATCH})) AS size FROM counts), done AS (SELECT *, least(123, size) AS done FROM hit) SELECT partition, (n - {twice} - {lost})::BIGINT AS delivered_once, ({twice})::BIGINT AS delivered_twice, ({lost})::BIGINT AS lost FROM done"
+    return f"WITH {COUNTS_SQL}, hit AS (SELECT partition, n, greatest(0, least({BATCH}, n - {2 * BATCH})) AS size FROM counts WHERE partition = 0), done AS (SELECT *, CASE WHEN n > {CRASH} THEN {CRASH - 2 * BATCH} ELSE 0 END AS done, n > {CRASH} AS died FROM hit) SELECT partition, (n - {twice} - {lost})::BIGINT AS delivered_once, ({twice})::BIGINT AS delivered_twice, ({lost})::BIGINT AS lost FROM done"
 
 
 @query(replay_sql("done", "0"))
 def replay_at_least_once(spark, sf_dir):
-    return delivery.replay(counts(spark, sf_dir), BATCH, 2, 123, "at_least_once")
+    return replayed(spark, sf_dir, "at_least_once")
 
 
-@query(replay_sql("0", "(size - done)"))
+@query(replay_sql("0", "(CASE WHEN died THEN size - done ELSE 0 END)"))
 def replay_at_most_once(spark, sf_dir):
-    return delivery.replay(counts(spark, sf_dir), BATCH, 2, 123, "at_most_once")
+    return replayed(spark, sf_dir, "at_most_once")
+
+
+@query(f'WITH {LOG_SQL} SELECT topic, partition, "offset", key, payload FROM log')
+def engine_log_after_crashes(spark, sf_dir):
+    """What the engine's log holds after every append died once before its commit, was run again, and replayed."""
+    rows = engine_of_events(spark, sf_dir, list(range(P)), crash=True).log()
+    return rows.select("topic", "partition", "offset", "key", F.col("payload").cast("string").alias("payload"))
+
+
+@query(f"WITH {COUNTS_SQL} SELECT 1::BIGINT AS topics, {P}::BIGINT AS partitions, sum(n)::BIGINT AS records, sum((n + {SEGMENT - 1}) // {SEGMENT})::BIGINT AS segments, sum(n)::BIGINT AS produced_total, (SELECT least(100, n)::BIGINT FROM counts WHERE partition = 0) AS fetched_total FROM counts")
+def engine_stats_after_crashes(spark, sf_dir):
+    engine = engine_of_events(spark, sf_dir, list(range(P)), crash=True)
+    engine.fetch("events", 0, 0, 100)
+    return engine.stats()
+
+
+@query(f"""WITH {LOG_SQL} SELECT 'sink-1' AS connector, topic, partition, "offset", payload, 'permanent failure: poison record at offset ' || "offset" AS reason, {ATTEMPTS} AS attempts FROM log WHERE "offset" % {FAIL} = 0""")
+def sink_stream_dead_letters(spark, sf_dir):
+    """Dead letters of the streaming sink over the engine's log; its batch is run twice, as its end is lost."""
+    engine = engine_of_events(spark, sf_dir, list(range(P)))
+    for _ in range(2):
+        runtime.log_to_sink(engine, "sink-1", ["events"], runtime.FailingSink(FAIL), schemas.SinkOptions(max_attempts=ATTEMPTS), f"{engine.root}/stream", availableNow=True).awaitTermination()
+        engine._delete(f"{engine.root}/stream/commits/0")
+    return engine.dead_letters().drop("failed_at").withColumn("payload", F.col("payload").cast("string"))
 
 
 # events, registry, projections
@@ -420,7 +531,7 @@ TRACE_SQL = "trace AS (SELECT event_id, user_id, epoch_us(ts) AS moment, event_t
  UNION ALL SELECT t.user_id, t.k, t.event_id, t.moment, CASE WHEN least({48 * HOUR}, w.tokens + t.moment - w.moment) >= {24 * HOUR} THEN least({48 * HOUR}, w.tokens + t.moment - w.moment) - {24 * HOUR} ELSE least({48 * HOUR}, w.tokens + t.moment - w.moment) END, least({48 * HOUR}, w.tokens + t.moment - w.moment) >= {24 * HOUR} FROM walk w JOIN trace t ON t.user_id = w.user_id AND t.k = w.k + 1)
  SELECT event_id, admitted FROM walk""")
 def rate_limit_admission(spark, sf_dir):
-    return folds.fold(trace(spark, sf_dir), "user_id", ["at", "event_id"], lambda: folds.Bucket(2, 24 * HOUR), lambda b, r: {"event_id": r["event_id"], "admitted": b.take(r["at"])}, "event_id long, admitted boolean")
+    return folds.fold(trace(spark, sf_dir), "user_id", ["at", "event_id"], ["at"], lambda: folds.Bucket(2, 24 * HOUR), lambda b, at: (b.take(at),), ["event_id"], "admitted boolean")
 
 
 @query(f"""WITH RECURSIVE {TRACE_SQL}, walk AS (
@@ -432,11 +543,11 @@ def rate_limit_admission(spark, sf_dir):
  FROM (SELECT t.user_id, t.k, t.event_id, t.moment, t.failed, w.failures, w.opened, CASE WHEN w.state = 'open' AND t.moment - w.opened >= {6 * HOUR} THEN 'half_open' ELSE w.state END AS now FROM walk w JOIN trace t ON t.user_id = w.user_id AND t.k = w.k + 1))
  SELECT event_id, state, admitted FROM walk""")
 def circuit_breaker_states(spark, sf_dir):
-    def step(b: folds.Breaker, r: dict) -> dict:
-        admitted = b.call(r["at"], r["failed"])
-        return {"event_id": r["event_id"], "state": b.state, "admitted": admitted}
+    def step(b: folds.Breaker, at: int, failed: bool) -> tuple:
+        admitted = b.call(at, failed)
+        return b.state, admitted
 
-    return folds.fold(trace(spark, sf_dir), "user_id", ["at", "event_id"], lambda: folds.Breaker(3, 6 * HOUR), step, "event_id long, state string, admitted boolean")
+    return folds.fold(trace(spark, sf_dir), "user_id", ["at", "event_id"], ["at", "failed"], lambda: folds.Breaker(3, 6 * HOUR), step, ["event_id"], "state string, admitted boolean")
 
 
 @query(f"""WITH RECURSIVE {TRACE_SQL}, walk AS (
@@ -445,7 +556,7 @@ def circuit_breaker_states(spark, sf_dir):
  FROM (SELECT t.user_id, t.k, t.event_id, t.moment + t.length AS until, list_filter(w.ends, lambda e: e > t.moment) AS live FROM walk w JOIN trace t ON t.user_id = w.user_id AND t.k = w.k + 1))
  SELECT event_id, admitted FROM walk""")
 def bulkhead_admission(spark, sf_dir):
-    return folds.fold(trace(spark, sf_dir), "user_id", ["at", "event_id"], lambda: folds.Bulkhead(2), lambda b, r: {"event_id": r["event_id"], "admitted": b.enter(r["at"], r["at"] + r["length"])}, "event_id long, admitted boolean")
+    return folds.fold(trace(spark, sf_dir), "user_id", ["at", "event_id"], ["at", "length"], lambda: folds.Bulkhead(2), lambda b, at, length: (b.enter(at, at + length),), ["event_id"], "admitted boolean")
 
 
 # generator, framing, demo
