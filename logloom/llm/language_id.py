@@ -2,16 +2,16 @@
 
 Words (runs of letters; lower case) are padded, and 4-grams of characters inside a word are counted over all
 learning documents. Orders 1 to 3 use continuation counts; each order has its own absolute discount n1 / (n1 + 2
-n2). A model is stored as sorted arrays of hashed n-grams and contexts with their weights; hashes have
-``hash_bits`` bits, so an order of a language never has more than 2 ** hash_bits entries, which bounds the
-broadcast. A text gets the language of lowest cross-entropy per character. The score is a softmax of the
+n2). A model is stored as sorted arrays of the 64-bit hashes of its n-grams and contexts, with their weights: 16 bytes
+for each distinct n-gram of a language's words, which grow far slower than the corpus. A text gets the language of lowest cross-entropy per character. The score is a softmax of the
 entropies whose scale is calibrated on all learning documents. A text is rejected if its best entropy lies far above
 the median of that language's learning documents, counted in a histogram over all of them; medians and quantiles, so
 that a few odd or mislabelled documents don't move the limit.
 
 Cases: null text, or one without a letter: ``und``, score 0, rejected. Equal texts get equal results; a tie goes
 to the language that sorts first. Rows with null language aren't learned from. With no language learned every
-text is ``und``. An empty table gives an empty result. Columns besides the named ones pass through.
+text is ``und``. An empty table gives an empty result. Other columns pass through, but for those named like a result,
+which give way to it (with ``into`` the results are one struct of that name, and every column stays).
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from logloom.llm import textblocks as tb
 
 ORDER = 4
 START, END = 2, 3
+_GRAM, _CONTEXT = 0, 1
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(97, 123))] = True
 _LETTER[128:] = True
@@ -38,7 +39,6 @@ _LETTER[128:] = True
 
 @dataclasses.dataclass(frozen=True)
 class Settings:
-    hash_bits: int = 22
     #: A text is rejected beyond the median entropy of its language's learning documents plus so many times their spread
     #: (from the median to the quantile one standard deviation above it), and beyond ``slack`` times that median; and
     #: beyond all but a hundredth of them.
@@ -46,6 +46,8 @@ class Settings:
     slack: float = 2.0
 
 
+#: Work arrays take some thirty times a block.
+BLOCK_BYTES = 2 << 20
 #: Candidates for the softmax scale, and bins of the entropy histogram in a bit (an entropy is below 40 bits).
 SCALES = (0.5, 1, 2, 4, 8, 16, 32)
 BINS = 256
@@ -64,9 +66,9 @@ class _Grams:
         starts[1:] &= ~inside[:-1] | begins[1:]
         where = np.flatnonzero(starts)
         self.first = np.searchsorted(where, at)
-        rank = np.cumsum(inside, dtype=np.int64)
+        rank = np.cumsum(inside, dtype=np.int32 if len(inside) < 1 << 31 else np.int64)
         letters = data[inside]
-        self.codes, words = tb.encoded(letters, np.append(rank[where] - 1, len(letters)))
+        self.codes, words = tb.encoded(letters, np.append(rank[where].astype(np.int64) - 1, len(letters)))
         raw, ends = tb.flat(words)
         points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         size = tb.per_text(~tb.IS_TAIL[raw], ends)
@@ -98,7 +100,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in tb.blocks(batch, text_col):
+            for rows in tb.blocks(batch, 0, BLOCK_BYTES):
                 langs = rows.column(1).dictionary_encode()
                 names, lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()
                 found = _Grams(rows.column(0))
@@ -126,15 +128,13 @@ class Model:
     contexts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
     #: Chance of a character that no order has seen, by language.
     floor: np.ndarray
-    hash_bits: int
     scale: float = 10.0
     limit: np.ndarray | None = None
 
     def entropy(self, grams: np.ndarray) -> np.ndarray:
         """Bits of each gram's last character, by language."""
-        shift = np.uint64(64 - self.hash_bits)
         out = np.empty((len(grams), len(self.langs)))
-        keys = {n: (_hashes(grams[:, ORDER - n :]) >> shift, _hashes(grams[:, ORDER - n : -1]) >> shift) for n in range(1, ORDER + 1)}
+        keys = {n: (_hashes(grams[:, ORDER - n :]), _hashes(grams[:, ORDER - n : -1])) for n in range(1, ORDER + 1)}
 
         def look(stored: tuple[np.ndarray, np.ndarray] | None, key: np.ndarray, missing: float) -> np.ndarray:
             if stored is None or not len(stored[0]):
@@ -184,8 +184,8 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, score, 0.0), low, rejected
 
 
-def _model_rows(counts: DataFrame, hash_bits: int) -> tuple[DataFrame, dict]:
-    """lang, n, kind (0: n-gram, 1: context), key, value; one row a key. And the numbers of characters."""
+def _model_rows(counts: DataFrame) -> tuple[DataFrame, dict]:
+    """place (language, order and kind in one number), key, value: one row an n-gram or context. And the numbers of characters."""
     tables_by_order = {ORDER: counts.select("lang", "gram", F.col("n").cast("double").alias("c"))}
     for n in range(ORDER - 1, 0, -1):
         tail = F.expr(f"substring(gram, 2, {n})")
@@ -195,6 +195,8 @@ def _model_rows(counts: DataFrame, hash_bits: int) -> tuple[DataFrame, dict]:
         part = df.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count("*").alias("types")).withColumn("n", F.lit(n))
         spread = part if spread is None else spread.unionByName(part)
     stats = {(r.lang, r.n): r for r in spread.collect()}  # a row for each language and order
+    langs = {lang: i for i, lang in enumerate(sorted({lang for lang, _ in stats}))}
+    number = F.create_map(*[F.lit(x) for pair in langs.items() for x in pair])[F.col("lang")] if langs else F.lit(0)
     rows = None
     for n, df in tables_by_order.items():
         d = {lang: max(0.1, min(0.95, r.n1 / (r.n1 + 2 * r.n2) if r.n1 else 0.5)) for (lang, m), r in stats.items() if m == n}
@@ -202,43 +204,42 @@ def _model_rows(counts: DataFrame, hash_bits: int) -> tuple[DataFrame, dict]:
         context = F.expr(f"substring(gram, 1, {n - 1})").alias("context")
         by_context = df.groupBy("lang", context).agg(F.sum("c").alias("total"), F.count("*").alias("types"))
         joined = df.withColumn("context", context).join(by_context, ["lang", "context"])
-        grams = joined.select("lang", F.lit(n).alias("n"), F.lit(0).alias("kind"), "gram", ((F.col("c") - discount) / F.col("total")).alias("value"))
-        contexts = by_context.select("lang", F.lit(n).alias("n"), F.lit(1).alias("kind"), F.col("context").alias("gram"), (discount * F.col("types") / F.col("total")).alias("value"))
+        place = lambda kind, n=n: ((number * ORDER + (n - 1)) * 2 + kind).cast("int").alias("place")
+        grams = joined.select(place(_GRAM), "gram", ((F.col("c") - discount) / F.col("total")).alias("value"))
+        contexts = by_context.select(place(_CONTEXT), F.col("context").alias("gram"), (discount * F.col("types") / F.col("total")).alias("value"))
         part = grams.unionByName(contexts)
         rows = part if rows is None else rows.unionByName(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(3).to_pylist()
+            text = batch.column(1).to_pylist()
             size = np.fromiter(map(len, text), np.int64, len(text))
             key = np.zeros(len(text), np.int64)
             for k in np.unique(size):
                 some = np.flatnonzero(size == k)
                 grams = np.array([text[i] for i in some], f"<U{max(k, 1)}").view("<u4").reshape(len(some), max(k, 1))[:, :k]
-                key[some] = (_hashes(grams) >> np.uint64(64 - hash_bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key), batch.column(4)], ["lang", "n", "kind", "key", "value"])
+                key[some] = _hashes(grams).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), batch.column(2)], ["place", "key", "value"])
 
-    keyed = rows.mapInArrow(run, "lang string, n int, kind int, key long, value double")
-    return keyed.groupBy("lang", "n", "kind", "key").agg(F.max("value").alias("value")), {lang: r.types for (lang, m), r in stats.items() if m == 1}
+    return rows.mapInArrow(run, "place int, key long, value double"), {lang: r.types for (lang, m), r in stats.items() if m == 1}
 
 
-def train(docs: DataFrame, learn: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, learn: Column, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of the rows where ``learn`` holds and the language is known."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col)
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
     counts = tables.written(gram_counts(rows, text_col, lang_col), "language-grams")
-    table, characters = _model_rows(counts, settings.hash_bits)
+    table, characters = _model_rows(counts)
     got = table.toArrow()
     langs = sorted(characters)
-    lang, n, kind, key, value = (got[c].to_numpy(zero_copy_only=False) for c in ("lang", "n", "kind", "key", "value"))
-    grams, contexts = {}, {}
-    for i, name in enumerate(langs):
-        for order in range(1, ORDER + 1):
-            for k, store in ((0, grams), (1, contexts)):
-                some = np.flatnonzero((lang == name) & (n == order) & (kind == k))
-                some = some[np.argsort(key[some])]
-                store[i, order] = (key[some].astype(np.uint64), value[some].astype(np.float64))
+    place, key, value = (got[c].to_numpy() for c in ("place", "key", "value"))
+    del got
+    order = np.lexsort((key.view(np.uint64), place))
+    place, key, value = place[order], key.view(np.uint64)[order], value[order]
+    edge = np.searchsorted(place, np.arange(len(langs) * ORDER * 2 + 1))
+    part = lambda i, n, kind: slice(*edge[((i * ORDER + n - 1) * 2 + kind) + np.array([0, 1])].tolist())
+    stores = [{(i, n): (key[part(i, n, kind)], value[part(i, n, kind)]) for i in range(len(langs)) for n in range(1, ORDER + 1)} for kind in (_GRAM, _CONTEXT)]
     everything = max(characters.values(), default=0) + 1
-    model = Model(langs, grams, contexts, np.full(len(langs), 1 / (2.0 * everything)), settings.hash_bits)
+    model = Model(langs, *stores, np.full(len(langs), 1 / (2.0 * everything)))
     _calibrate(model, rows, settings, text_col, lang_col)
     return model
 
@@ -253,7 +254,7 @@ def _calibrate(model: Model, rows: DataFrame, settings: Settings, text_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {name: i for i, name in enumerate(shipped.value.langs)}
         for batch in batches:
-            for part in tb.blocks(batch, text_col):
+            for part in tb.blocks(batch, 1, BLOCK_BYTES):
                 bits, chars = shipped.value.measure(part.column(1))
                 some = np.flatnonzero(chars > 0)
                 if not len(some):
@@ -285,16 +286,13 @@ def _calibrate(model: Model, rows: DataFrame, settings: Settings, text_col: str,
             model.limit[i] = max(middle + settings.spreads * (above - middle), settings.slack * middle, high)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The named columns (all by default), with lang_pred, score, bits_per_char and rejected."""
-    keep = docs.columns if keep is None else keep
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_char", T.DoubleType()), ("rejected", T.BooleanType()))])
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, into: str | None = None) -> DataFrame:
+    """The named columns (all by default), with lang_pred, score, bits_per_char and rejected, or a struct of them."""
+    fields = [T.StructField(n, t) for n, t in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_char", T.DoubleType()), ("rejected", T.BooleanType()))]
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tb.blocks(batch, "__text"):
-                lang, score, bits, rejected = shipped.value.predict(part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)], [*part.schema.names[:-1], "lang_pred", "score", "bits_per_char", "rejected"])
+    def made(texts: pa.Array) -> list[pa.Array]:
+        lang, *rest = shipped.value.predict(texts)
+        return [pa.array(lang, pa.string()), *map(pa.array, rest)]
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return tables.extended(docs, text_col, docs.columns if keep is None else keep, fields, made, into, BLOCK_BYTES)

@@ -6,8 +6,8 @@ features, and ``resolve`` joins references to payload features by digest; positi
 reference. Payload bytes never pass a shuffle: only digests and features do.
 
 Cases: null HTML or text counts as empty (no items; the payload of an empty text is one row of 576 bytes 255);
-equal texts share a digest and so all values; a reference without a payload keeps nulls; an empty table gives an
-empty result; columns besides the named ones are ignored.
+equal texts share a digest and so all values; a reference without a payload keeps nulls; a figure's caption goes to
+all its media, before it or after it; an empty table gives an empty result; columns besides the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,9 @@ class _Sequence(html.parser.HTMLParser):
         self.items: list[dict] = []
         self.run: list[str] = []
         self.hidden = 0
+        #: Media of the open figure, and its caption if that came first.
         self.figure: list[dict] | None = None
+        self.told: str | None = None
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -55,7 +57,7 @@ class _Sequence(html.parser.HTMLParser):
             self.hidden += 1
         elif tag in MEDIA and (ref := dict(attrs).get("src")):
             self.flush()
-            item = {"kind": "media", "text": None, "ref": ref, "caption": dict(attrs).get("alt")}
+            item = {"kind": "media", "text": None, "ref": ref, "caption": dict(attrs).get("alt") if self.told is None else self.told}
             self.items.append(item)
             if self.figure is not None:
                 self.figure.append(item)
@@ -65,7 +67,7 @@ class _Sequence(html.parser.HTMLParser):
         elif tag in BREAKS:
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.figure, self.told = [], None
 
     def handle_endtag(self, tag):
         if tag in HIDDEN:
@@ -73,12 +75,14 @@ class _Sequence(html.parser.HTMLParser):
         elif tag == "figcaption" and self.caption is not None:
             text = re.sub(r"\s+", " ", "".join(self.caption)).strip()
             self.caption = None
+            if self.figure is not None:
+                self.told = text
             for item in self.figure or []:
                 item["caption"] = text
         elif tag in BREAKS:
             self.flush()
             if tag == "figure":
-                self.figure = None
+                self.figure = self.told = None
 
     def handle_data(self, data):
         if not self.hidden:
@@ -180,4 +184,4 @@ def read_media(media: DataFrame) -> DataFrame:
 def resolve(items: DataFrame, id_col: str, read: DataFrame) -> DataFrame:
     """A row for each media reference, with position, caption and the payload's columns."""
     refs = items.select(id_col, F.explode("items").alias("item")).where("item.kind = 'media'").select(id_col, "item.position", "item.caption", F.regexp_replace("item.ref", "^sha256:", "").alias("digest"))
-    return tables.salted_join(refs, read, "digest")
+    return tables.salted_join(refs, read, ["digest"])

@@ -4,11 +4,15 @@ A logistic model over counts of words, characters and lines gives each document
 bounded sample of labelled documents. Hosts and their paths get the mean of it over all their documents, shrunk:
 a host toward the global mean, a path toward its host, each with a weight (in documents) estimated from the
 spread between hosts or paths. A document's posterior log odds are its own plus ``site_weight`` times what its
-path's log odds differ from the global ones. Grouped sums are the only thing gathered, pre-aggregated by task.
-
-Cases: null or empty text has the evidence of zero counts; a null host or path is a group of its own; repeated
-labels count as one document with their lowest quality; equal rows get equal results; without labels of both
-kinds nothing is rejected; an empty table gives an empty result; all columns of the documents pass through.
+path's log odds differ from the global ones, where the sums of path and host leave the document itself out: its
+evidence counts once. Grouped sums are the only thing gathered, pre-aggregated by task.
+
+Cases: null or empty text has the evidence of zero counts; a null host or path is a group of its own; the only
+document of a path has its host's posterior, the only one of a host the global one; repeated labels count as one
+document with their lowest quality; equal rows get equal results; without labels of both kinds nothing is rejected;
+an empty table gives an empty result. Other columns pass through, but for those named like a result, which give way
+to it (with ``into`` the results are one struct of that name, and every column stays). A host of a third of all
+documents is summed up by task first, and dealt over many tasks if sites are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -87,13 +91,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def document_model(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str) -> np.ndarray | None:
-    marks = labels.where("quality is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.min("quality").alias("quality"))
+    marks = labels.where("quality is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.min("quality").cast("int").alias("quality"))
     chosen = marks.orderBy(F.xxhash64(id_col), id_col).limit(settings.sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(text_col, "quality")
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(text_col, "quality")  # ``sample`` rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tb.blocks(batch, text_col):
+            for part in tb.blocks(batch, 0):
                 x = features(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64())), part.column(1)], ["x", "quality"])
 
@@ -106,35 +110,51 @@ def document_model(docs: DataFrame, labels: DataFrame, settings: Settings, id_co
     return fit(x[order], y[order], settings.ridge)
 
 
-def evidence(docs: DataFrame, model: np.ndarray, text_col: str, keep: list[str]) -> DataFrame:
+def evidence(docs: DataFrame, model: np.ndarray, text_col: str, keep: list[str], into: str = "evidence") -> DataFrame:
     """The named columns and ``evidence``, the log odds of being poor."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("evidence", T.DoubleType())])
     own = model.tolist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(texts: pa.Array) -> list[pa.Array]:
         w = np.array(own)
-        for batch in batches:
-            for part in tb.blocks(batch, "__text"):
-                odds = np.clip(features(part.column(part.num_columns - 1)) @ w[:-1] + w[-1], -20, 20)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(odds)], [*part.schema.names[:-1], "evidence"])
+        return [pa.array(np.clip(features(texts) @ w[:-1] + w[-1], -20, 20))]
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return tables.extended(docs, text_col, keep, [T.StructField(into, T.DoubleType())], made)
 
 
 def _odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, path_odds) of all paths, and the global log odds. scored: host, path, evidence."""
-    p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * (1 - p)).alias("v"))
-    paths = tables.written(paths, "quality-paths")
+@dataclasses.dataclass
+class Priors:
+    """The global share of poor documents, and the weights, in documents, of the global mean in a host and of a host in its path."""
+
+    mean: float
+    of_host: float
+    of_path: float
+
+    def path_odds(self, n: Column, s: Column, host_n: Column, host_s: Column) -> Column:
+        host = (host_s + self.of_host * self.mean) / (host_n + self.of_host)
+        return _odds((s + self.of_path * host) / (n + self.of_path))
+
+    @property
+    def base(self) -> float:
+        return float(np.log(self.mean / (1 - self.mean)))
+
+
+def poor(evidence_: Column) -> Column:
+    return 1 / (1 + F.exp(-evidence_))
+
+
+def site_sums(scored: DataFrame) -> tuple[DataFrame, Priors]:
+    """host, path, n, s (documents and summed chances of being poor), host_n, host_s of all paths; and the priors. scored: host, path, evidence."""
+    p = poor(F.col("evidence"))
+    paths = tables.written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     both = paths.join(hosts, paths.host.eqNullSafe(hosts.host)).drop(hosts.host)
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     if not total.n:
-        return both.select("host", "path", F.lit(0.0).alias("path_odds")), 0.0
+        return both, Priors(0.5, 1.0, 1.0)
     mean = min(max(total.s / total.n, 1e-6), 1 - 1e-6)
 
     def prior_weight(groups: DataFrame, share: Column, around: Column, size: Column) -> float:
@@ -145,26 +165,45 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
 
     a = prior_weight(hosts, F.col("host_s") / F.col("host_n"), F.lit(mean), F.col("host_n"))
     b = prior_weight(both, F.col("s") / F.col("n"), F.col("host_s") / F.col("host_n"), F.col("n"))
-    host = (F.col("host_s") + a * mean) / (F.col("host_n") + a)
-    path = (F.col("s") + b * host) / (F.col("n") + b)
-    return both.select("host", "path", _odds(path).alias("path_odds")), float(np.log(mean / (1 - mean)))
+    return both, Priors(mean, a, b)
+
+
+def _key(column: Column) -> Column:
+    """A string that is never null, another one for each value and for null."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The named columns (all by default), with host, path, evidence, score (posterior of being poor) and kept."""
-    keep = docs.columns if keep is None else keep
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, into: str | None = None) -> DataFrame:
+    """The named columns (all by default), with host, path, evidence, score (posterior of being poor) and kept, or a struct of them."""
+    names = [into] if into else ["host", "path", "evidence", "score", "kept"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
+    kept = [F.col(f"`{c}`") for c in keep]
     model = document_model(docs, labels, settings, id_col, text_col)
+    at, own = tables.fresh(docs, "site"), tables.fresh(docs, "evidence")
+    sited = docs.withColumn(at, F.struct(host.cast("string").alias("host"), path.cast("string").alias("path")))
+
+    def results(frame: DataFrame, evidence_: Column, score: Column, take: Column) -> DataFrame:
+        out = [F.col(at)["host"].alias("host"), F.col(at)["path"].alias("path"), evidence_.alias("evidence"), score.alias("score"), take.alias("kept")]
+        return frame.select(*kept, *([F.struct(*out).alias(into)] if into else out))
+
     if model is None:
-        return docs.select(*keep, host.alias("__host"), path.alias("__path"), F.lit(0.0).alias("evidence"), F.lit(0.0).alias("score"), F.lit(True).alias("kept"))
-    sited = docs.select("*", host.alias("__host"), path.alias("__path"))
-    scored = evidence(sited, model, text_col, [*keep, "__host", "__path"])
+        return results(sited, F.lit(0.0), F.lit(0.0), F.lit(True))
+    scored = evidence(sited, model, text_col, [*keep, at], own)
     if text_col in keep:  # texts are read twice rather than written
-        narrow = evidence(sited, model, text_col, ["__host", "__path"])
+        narrow = evidence(sited, model, text_col, [at], own)
     else:
         narrow = scored = tables.written(scored, "quality-evidence")
-    sites, base = site_posteriors(narrow.select(F.col("__host").alias("host"), F.col("__path").alias("path"), "evidence"))
-    sites = tables.small_or_not(tables.written(sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "path_odds"), "quality-sites"))
-    found = scored.join(sites, scored["__host"].eqNullSafe(sites.site_host) & scored["__path"].eqNullSafe(sites.site_path), "left")
-    odds = F.col("evidence") + settings.site_weight * (F.coalesce("path_odds", F.lit(base)) - base)
+    sums, priors = site_sums(narrow.select(F.col(at)["host"].alias("host"), F.col(at)["path"].alias("path"), F.col(own).alias("evidence")))
+    keys = [tables.fresh(scored, "host"), tables.fresh(scored, "path")]
+    s_col = tables.fresh(scored, "sums")
+    sums = tables.written(sums.select(_key(F.col("host")).alias(keys[0]), _key(F.col("path")).alias(keys[1]), F.struct("n", "s", "host_n", "host_s").alias(s_col)), "quality-sites")
+    keyed = scored.withColumn(keys[0], _key(F.col(at)["host"])).withColumn(keys[1], _key(F.col(at)["path"]))
+    if sums.count() <= tables.BROADCAST_ROWS:
+        found = keyed.join(F.broadcast(sums), keys, "left")
+    else:
+        found = tables.salted_join(keyed, sums, keys, hot=sums.where(F.col(s_col)["n"] > 1_000))
+    p, of = poor(F.col(own)), F.col(s_col)
+    without = lambda total: F.greatest(total - p, F.lit(0.0))
+    odds = F.col(own) + settings.site_weight * (priors.path_odds(of["n"] - 1, without(of["s"]), of["host_n"] - 1, without(of["host_s"])) - priors.base)
     score = 1 / (1 + F.exp(-odds))
-    return found.select(*keep, "__host", "__path", "evidence", score.alias("score"), (score <= settings.reject_above).alias("kept"))
+    return results(found, F.col(own), score, score <= settings.reject_above)
