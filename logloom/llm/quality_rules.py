@@ -5,15 +5,18 @@ documents. A document's score is the mean over its n-grams of the log ratio of t
 matter; every document meets the same threshold. A bucket's ratio is (trusted + k) / (expected + k), where
 expected is the raw count scaled to the trusted total: buckets that were hardly seen say nothing.
 
+Buckets grow with the square root of the corpus: 2 ** (5 + log2(bytes) / 2) of them, 2 ** 16 at least.
+
 Cases: null or empty text has no words: zero counts, base_failed. Equal texts get equal rows. Repeated or
 contradicting labels of a document: it is trusted if its lowest quality label is 1. Without labels every ratio
 is 1 and only the base rules decide. An empty table gives an empty result; a null id stays null and is never
-trusted. The driver holds one pair of counts a bucket, whatever the corpus.
+trusted. The driver holds one pair of counts a bucket; a very long text is a block of its own.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +37,8 @@ class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5
-    #: 2 ** bits buckets; the model is so many pairs of counts.
-    bits: int = 16
+    #: 2 ** bits buckets; None: by the bytes of all texts.
+    bits: int | None = None
     #: k above, in n-grams.
     weight: float = 20.0
     #: Mean log ratio from which a document is kept.
@@ -54,46 +57,62 @@ def _ngrams(words: tb.Words, hashes: np.ndarray, bits: int) -> tuple[np.ndarray,
     return np.concatenate((tb.mixed(hashes), pairs)) >> np.uint64(64 - bits), np.concatenate((text, pair_text))
 
 
+def bits_for(total: int) -> int:
+    """Bits of a bucket's number for so many bytes of text."""
+    return max(16, math.ceil(math.log2(max(total, 1)) / 2) + 5)
+
+
 def train(docs: DataFrame, labels: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log ratio by bucket, from counts over all documents."""
-    trusted = labels.groupBy(F.col("doc_id").alias(id_col)).agg((F.min("quality") == 1).alias("trusted")).where("trusted")
-    marked = docs.select(id_col, text_col).join(tables.small_or_not(trusted), id_col, "left").select(text_col, F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    n = 1 << rules.bits
+    bits = rules.bits or bits_for(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    trusted = labels.groupBy(F.col("doc_id").alias(id_col)).agg((F.min("quality") == 1).alias("trusted")).where("trusted").select(id_col)
+    texts, n = docs.select(F.col(id_col), F.col(text_col)), 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros(2 * n, np.int64)
         for batch in batches:
-            for rows in tb.blocks(batch, text_col):
+            for rows in tb.blocks(batch, 0):
                 words, hashes = _words(rows, 0)
-                bucket, text = _ngrams(words, hashes, rules.bits)
-                mark = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                both += np.bincount(bucket.astype(np.int64) + n * mark[text], minlength=2 * n)
+                bucket, text = _ngrams(words, hashes, bits)
+                bucket = bucket.astype(np.int64)
+                bucket += n * rows.column(1).to_numpy(zero_copy_only=False)[text]
+                np.add.at(both, bucket, 1)
         raw, good = both[:n] + both[n:], both[n:]
         seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(good[seen])], ["bucket", "raw", "trusted"])
-
-    counts = marked.mapInArrow(count, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
-    got = counts.toArrow()
-    raw, good = np.zeros(n), np.zeros(n)
+        for part in (seen[i : i + (1 << 16)] for i in range(0, len(seen), 1 << 16)):
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(raw[part]), pa.array(good[part])], ["bucket", "raw", "trusted"])
+
+    def counted(marked: DataFrame) -> DataFrame:
+        return marked.mapInArrow(count, "bucket int, raw long, trusted long")
+
+    if trusted.limit(tables.BROADCAST_ROWS + 1).count() <= tables.BROADCAST_ROWS:
+        marked = texts.join(F.broadcast(trusted.withColumn("__trusted", F.lit(1).cast("long"))), id_col, "left")
+        counts = counted(marked.select(text_col, F.coalesce("__trusted", F.lit(0).cast("long"))))
+    else:  # only trusted texts go through a join
+        good = counted(texts.join(trusted, id_col, "left_semi").select(text_col, F.lit(1).cast("long")))
+        counts = counted(texts.select(text_col, F.lit(0).cast("long"))).unionByName(good.withColumn("raw", F.lit(0).cast("long")))
+    got = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
     at = got["bucket"].to_numpy()
+    raw, good = np.zeros(n), np.zeros(n)
     raw[at], good[at] = got["raw"].to_numpy(), got["trusted"].to_numpy()
     if not good.sum():
-        return np.zeros(n)
-    return np.log((good + rules.weight) / (raw * (good.sum() / raw.sum()) + rules.weight))
+        return np.zeros(n, np.float32)
+    return np.log((good + rules.weight) / (raw * (good.sum() / raw.sum()) + rules.weight)).astype(np.float32)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rules, id_col, text_col))
+    trained = train(docs, labels, rules, id_col, text_col)
+    model, bits = docs.sparkSession.sparkContext.broadcast(trained), len(trained).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in tb.blocks(batch, text_col):
+            for rows in tb.blocks(batch, 1):
                 words, hashes = _words(rows, 1)
                 n = words.counts()
                 repeat = tb.repeated_words(words.codes, words.first, rules.window)
                 failed = (n < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n)
-                bucket, text = _ngrams(words, hashes, rules.bits)
+                bucket, text = _ngrams(words, hashes, bits)
                 total = np.bincount(text, weights=model.value[bucket], minlength=rows.num_rows)
                 score = total / np.maximum(np.bincount(text, minlength=rows.num_rows), 1)
                 symbols = tb.per_text(SYMBOLS[words.data], words.at)
@@ -101,4 +120,4 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), id_c
                 out = [rows.column(0), *map(pa.array, (n, words.chars(), symbols, lines, repeat, failed, score, ~failed & (score >= rules.threshold)))]
                 yield pa.RecordBatch.from_arrays(out, [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {tables.id_type(docs, id_col)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {tables.id_type(docs, id_col)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
