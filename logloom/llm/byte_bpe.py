@@ -153,9 +153,10 @@ class ByteBpe:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         whole = tb.wide_space(data, at)
-        if self.word:
-            data = self.lowered(data)
         starts = tb.chunk_starts(data, at, tb.IS_SPACE, whole)
+        if self.word:  # special tokens are found before anything is lowered: chunks that may hold one are lowered after that
+            ends = np.append(starts, len(data))
+            data = np.where(np.repeat(tb.per_text(data == ord("<"), ends) > 0, np.diff(ends)), data, self.lowered(data))
         codes, chunks = tb.encoded(data, np.append(starts, len(data)))
         del data
         pre, offsets, count, special = self.cut(*tb.flat(chunks))

@@ -1,21 +1,24 @@
 """Byte-pair merges over ragged numpy arrays.
 
 ``MergeTable`` holds (left, right) -> (rank, merged) in an open-addressed array. ``merge_all`` applies each
-sequence's lowest-rank pair, all sequences at once, round by round; ``merge_one`` is the scalar form for very
-long sequences.
+sequence's lowest-rank pair, all sequences at once, round by round; ``merge_long`` does the same rounds on one very
+long sequence, where a round doesn't pass over the whole of it.
+
+Cases: no sequences, and sequences of no or one symbol, come back as they are; equal sequences give equal results;
+pairs of equal rank go leftmost first.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 from logloom.llm import textblocks as tb
 
 NONE = np.int32(2**31 - 1)
-#: Longer sequences go through merge_one, whose time is not rounds times length.
+#: Longer sequences go through merge_long, whose time is not rounds times length.
 LONG = 1024
+#: Symbols of a cell there.
+CELL = 256
 
 
 class MergeTable:
@@ -51,7 +54,6 @@ class MergeTable:
             self.where[at[won]] = todo[won]
             todo = todo[~won]
             slot[todo] = slot[todo] + 1 & (1 << self.bits) - 1
-        self.scalar = None
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -77,27 +79,41 @@ class MergeTable:
         index = self.find(left, right)
         return np.where(index >= 0, self.rank[index], NONE)
 
-    def merge_one(self, symbols: list[int]) -> list[int]:
-        """The merges of one sequence: lowest rank first, leftmost first."""
-        if self.scalar is None:
-            self.scalar = {(a, b): (r, m) for a, b, r, m in zip(self.left.tolist(), self.right.tolist(), self.rank.tolist(), self.merged.tolist(), strict=True)}
-        table, n = self.scalar, len(symbols)
-        symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(table[p][0], i, *p) for i in range(n - 1) if (p := (symbols[i], symbols[i + 1])) in table]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = table[a, b][1], -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y < n and (p := (symbols[x], symbols[y])) in table:
-                    heapq.heappush(heap, (table[p][0], x, *p))
-        return [s for s in symbols if s != -1]
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The rounds of merge_all for one long sequence: merged symbols stay in place as gaps, and the lowest rank is kept by cell, so that a round costs its own changes."""
+        n = len(symbols)
+        cells = -(-n // CELL)
+        sym, rank = np.asarray(symbols, np.int32).copy(), np.full(cells * CELL, NONE, np.int32)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank[: n - 1] = self.ranks(sym[:-1], sym[1:])
+        grid = rank.reshape(cells, CELL)
+        low = grid.min(axis=1)
+        alive = np.ones(n, bool)
+        while (now := low.min()) != NONE:
+            some = np.flatnonzero(low == now)
+            cell, place = np.nonzero(grid[some] == now)
+            hit = some[cell] * CELL + place
+            index = self.find(sym[hit], sym[after[hit]])
+            if self.together[index].all():
+                run = np.concatenate(([True], after[hit[:-1]] != hit[1:]))  # left to right without overlap
+                use = (np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))) % 2 == 0
+                hit, index = hit[use], index[use]
+            else:
+                hit, index = hit[:1], index[:1]
+            gone = after[hit]
+            sym[hit] = self.merged[index]
+            alive[gone], rank[gone] = False, NONE
+            after[hit] = after[gone]
+            inner = hit[after[hit] < n]
+            before[after[inner]] = inner
+            led = before[hit]
+            changed = np.concatenate((hit, led[led >= 0]))
+            rank[changed] = NONE
+            right = changed[after[changed] < n]
+            rank[right] = self.ranks(sym[right], sym[after[right]])
+            touched = np.unique(np.concatenate((changed, gone)) // CELL)
+            low[touched] = grid[touched].min(axis=1)
+        return sym[alive]
 
     def merge_all(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Surviving symbols of all sequences in a row, and how many each has."""
@@ -105,9 +121,8 @@ class MergeTable:
         first = np.cumsum(lengths) - lengths
         final, pieces, ids = np.zeros(len(lengths), np.int64), [], []
         for i in np.flatnonzero(lengths > LONG):
-            out = self.merge_one(symbols[first[i] : first[i] + lengths[i]].tolist())
-            final[i] = len(out)
-            pieces.append(np.array(out, np.int32))
+            pieces.append(self.merge_long(symbols[first[i] : first[i] + lengths[i]]))
+            final[i] = len(pieces[-1])
             ids.append(np.array([i]))
         seq = np.flatnonzero((lengths > 0) & (lengths <= LONG))
         sym = tb.ragged(np.asarray(symbols, np.int32), first[seq], lengths[seq])

@@ -6,7 +6,7 @@ is a sentencepiece BPE model with byte fallback: a symbol that is no piece count
 
 Cases: null text counts as empty and has 0 tokens; equal texts and repeated rows get equal counts; an empty table
 gives an empty result; columns besides the two named ones are ignored; a null id stays null. Sequences beyond
-``merges.LONG`` symbols are merged by a heap, with the same result.
+``merges.LONG`` symbols go through the same rounds one by one, on arrays that keep merged symbols as gaps.
 """
 
 from __future__ import annotations

@@ -31,7 +31,7 @@ def pieces(s):
     return sentencepiece.SentencePieceProcessor(model_file=PIECE).encode(s or "")
 
 
-ALPHABET = st.sampled_from(list("aábcÉ×'sS ,.!\n\t\r|<>_-12ß日   ▁İΣ́") + ["<|endoftext|>", "'ll", "the ", "  ", "<|startoftext|>"])
+ALPHABET = st.sampled_from(list("aábcÉ×'sS ,.!\n\t\r|<>_-12ß日   ▁İΣ́") + ["<|endoftext|>", "'ll", "the ", "  ", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "THE"])
 TEXTS = st.lists(st.lists(ALPHABET, max_size=25).map("".join), max_size=8)
 
 
@@ -49,8 +49,9 @@ def test_arrays_equal_the_libraries(texts):
     assert n.tolist() == [len(pieces(s)) for s in column.to_pylist()] and sizes.tolist() == [len((s or "").encode()) for s in column.to_pylist()]
 
 
-@pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, " " * 3000 + "x", "=" * 2500, "\n" * 1500 + "e"])
+@pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, " " * 3000 + "x", "=" * 2500, "\n" * 1500 + "e", "".join("theandiongrst"[k * k * 7919 % 13] for k in range(4000)), "日本" * 900 + "x" * 2000])
 def test_long_sequences(text):
+    """Beyond merges.LONG symbols."""
     for path in (BYTE, WORD):
         bpe = byte_bpe.load(path)
         for merge in (bpe.table.merge_all, lambda s, n, bpe=bpe: bpe_codec.merge_by_index(bpe.table, s, n)):
