@@ -38,7 +38,7 @@ def test_media_payloads(request, spark, tmp_path):
 def test_salted_join_equals_a_plain_one(spark):
     left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(200)] + [(999, None)], "i long, k string")
     right = spark.createDataFrame([("hot", 1), ("k2", 2)], "k string, v int")
-    got = tables.salted_join(left, right, "k", hot_rows=20, salts=5)
+    got = tables.salted_join(left, right, ["k"], hot_rows=20, salts=5)
     assert sorted(map(str, got.select("k", "i", "v").collect())) == sorted(map(str, left.join(right, "k", "left").select("k", "i", "v").collect()))
 
 
@@ -251,6 +251,46 @@ def test_join_components(spark, docs, chunk):
     assert got[20_001] == (1, 20_000) and got[20_002] == (0, 20_002)
 
 
+def test_rows_that_share_an_id(spark, sf):
+    text = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"x{k}" for k in range(40))
+    rows = [(1, text), (1, other), (2, text + " more"), (3, other), (3, other), (4, "alone"), (4, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, ngram_join.jaccard_components(df).collect()))
+    assert got == [(1, 37, 1), (1, 37, 1), (2, 38, 1), (3, 37, 1), (3, 37, 1), (4, 0, 4), (4, 0, 4), (4, 1, 4)]
+    kept = corpus_pipeline.near_duplicates(spark, df, sf).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, text), (1, other), (4, "alone"), (4, None), (4, "")], key=str)
+
+
+def test_join_of_long_sets_and_hot_lists(spark):
+    """Long sets, and families that share most n-grams without linking, over tries of a few sets."""
+    rng = np.random.default_rng(3)
+    common = [f"c{k}" for k in range(400)]
+    rows = [(i, " ".join([*common[: int(rng.integers(250, 400))], *[f"v{rng.integers(0, 60)}" for _ in range(int(rng.integers(0, 60)))]])) for i in range(50)]
+    rows += [(1000 + i, " ".join(f"w{(k * 31 + 7) % 9973}" for k in range(9000 + 400 * i))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_components(rows)
+    for chosen in (ngram_join.Settings(), ngram_join.Settings(chunk=20, chunk_bytes=60_000)):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, chosen).collect()} == want
+    assert len({c for _, c in want.values()}) > 3
+
+
+def test_cells_cover_all_pairs(spark):
+    """Each pair of a list in size reach with an index side meets in a cell."""
+    sizes = [100, 100, 101, 90, 86, 85, 84, 70, 118, 120, 400]
+    rows = [(7, i, s, 8 * s, i % 3 != 2, len(sizes), 8 * sum(sizes), i) for i, s in enumerate(sizes)]
+    hot = spark.createDataFrame(rows, "gram long, node long, size long, bytes long, index boolean, n long, list_bytes long, component long")
+    cells = defaultdict(lambda: (set(), set()))
+    for r in ngram_join._cells(hot, ngram_join.Settings(chunk=2)).collect():
+        cells[r.name][r.role - 1].add(r.node)
+    met = {(x, y) for stand, probe in cells.values() for x in probe for y in stand}
+    for x, s in enumerate(sizes):
+        for y, t in enumerate(sizes):
+            if x != y and y % 3 != 2 and 85 * s <= 100 * t and t <= s:
+                assert (x, y) in met
+    assert all(len(part) <= 11 for pair in cells.values() for part in pair)
+
+
 def test_join_cases(hard, none):
     got = sorted(map(tuple, ngram_join.jaccard_components(hard).collect()), key=str)
     want = plain_components([(i, t) for i, t in {(r.doc_id, r.text) for r in hard.collect()} if i is not None])
@@ -354,18 +394,77 @@ def test_classifier_separates_labels(spark, docs, labels):
 
 def test_site_posteriors_shrink(spark):
     rows = [("big", "p", -3.0)] * 900 + [("big", "q", 3.0)] * 100 + [("bad", "p", 3.0)] * 300 + [("tiny", "p", 3.0), (None, None, -3.0)]
-    got, base = quality_classifier.site_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double"))
-    odds = {(r.host, r.path): r.path_odds for r in got.collect()}
-    assert odds["big", "p"] < odds[None, None] < base < odds["tiny", "p"] < odds["bad", "p"]
+    sums, priors = quality_classifier.site_sums(spark.createDataFrame(rows, "host string, path string, evidence double"))
+    got = sums.withColumn("odds", priors.path_odds(F.col("n"), F.col("s"), F.col("host_n"), F.col("host_s"))).collect()
+    odds = {(r.host, r.path): r.odds for r in got}
+    assert odds["big", "p"] < odds[None, None] < priors.base < odds["tiny", "p"] < odds["bad", "p"]
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 3])
+def test_classifier_by_hand(spark, docs, labels, monkeypatch, broadcast_rows):
+    """The fit by plain gradient steps, and each document's posterior from sums over all others."""
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", broadcast_rows)
+    settings_ = quality_classifier.Settings()
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, labels, F.col("source"), F.col("lang"), settings_, keep=["doc_id"]).collect()}
+    rows = docs.select("doc_id", "text", "source", "lang").collect()
+    x = {r.doc_id: quality_classifier.features(pa.array([r.text], pa.string()))[0] for r in rows}
+    truth = defaultdict(lambda: 1)
+    for r in labels.where("quality is not null").collect():
+        truth[r.doc_id] = min(truth[r.doc_id], r.quality)
+    known = [i for i in truth if i in x]
+    features, y = np.stack([x[i] for i in known]), np.array([truth[i] == 0 for i in known], float)
+    mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-9
+    z = (features - mean) / scale
+    w, b = np.zeros(z.shape[1]), 0.0
+    for _ in range(60_000):
+        error = y - 1 / (1 + np.exp(-(z @ w + b)))
+        w, b = w + 0.5 * (z.T @ error - settings_.ridge * w) / len(y), b + 0.5 * error.sum() / len(y)
+    for i, f in x.items():
+        assert got[i].evidence == pytest.approx(np.clip((f - mean) / scale @ w + b, -20, 20), abs=0.05)
+    site = {r.doc_id: (r.source, r.lang) for r in rows}
+    p = {i: 1 / (1 + np.exp(-r.evidence)) for i, r in got.items()}
+    groups, hosts = defaultdict(list), defaultdict(list)
+    for i, (host, path) in site.items():
+        groups[host, path].append(p[i])
+        hosts[host].append(p[i])
+    n, share = len(p), sum(p.values()) / len(p)
+
+    spread = sum(len(g) * (np.mean(g) - share) ** 2 for g in hosts.values()) / n
+    noise = sum(share * (1 - share) for g in hosts.values()) / n
+    a = max(share * (1 - share) / max(spread - noise, 1e-6) - 1, 1.0)
+    around = {k: np.mean(hosts[k[0]]) for k in groups}
+    spread = sum(len(g) * (np.mean(g) - around[k]) ** 2 for k, g in groups.items()) / n
+    noise = sum(around[k] * (1 - around[k]) for k in groups) / n
+    c = max(share * (1 - share) / max(spread - noise, 1e-6) - 1, 1.0)
+    for i, (host, path) in site.items():
+        of_host = (sum(hosts[host]) - p[i] + a * share) / (len(hosts[host]) - 1 + a)
+        of_path = (sum(groups[host, path]) - p[i] + c * of_host) / (len(groups[host, path]) - 1 + c)
+        odds = got[i].evidence + settings_.site_weight * (np.log(of_path / (1 - of_path)) - np.log(share / (1 - share)))
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-6) and got[i].kept == (got[i].score <= settings_.reject_above)
 
 
 def test_classifier_cases(spark, hard, labels, none):
-    got = quality_classifier.classify(hard.drop("kept"), labels, F.col("source"), F.col("lang"))
-    assert got.count() == hard.count()
+    got = quality_classifier.classify(hard, labels, F.col("source"), F.col("lang"))
+    assert got.count() == hard.count() and len(set(got.columns)) == len(got.columns) and dict(got.dtypes)["kept"] == "boolean"
     assert quality_classifier.classify(none, labels, F.col("source"), F.col("lang"), keep=["doc_id"]).count() == 0
     assert quality_classifier.classify(hard, labels.where("1 = 0"), F.col("source"), F.col("lang"), keep=["doc_id"]).where("not kept").count() == 0
 
 
+#: Every name that an operator of the pipeline gives or works with.
+CLASHING = ["__text", "__text_", "__id", "__mark", "__quality", "__language", "__spans", "__site", "__evidence", "__host", "__path", "__sums", "__hot", "__salt", "base", "loose", "spans", "kept", "score", "evidence", "host", "path", "lang_pred", "rejected", "bits_per_char", "id", "mark", "node", "leader", "n", "component_id", "n_shingles", "class", "start", "length", "sequence_id", "offset", "ids_crc32", "doc_tokens", "quality", "Score", "gram", "size", "trusted", "bucket"]
+
+
+def test_stages_keep_columns_of_any_name(spark, sf, docs):
+    names = [c for i, c in enumerate(CLASHING) if c.lower() not in {x.lower() for x in CLASHING[:i]}]
+    wide = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        then = stage(spark, wide, sf)
+        assert then.dtypes == wide.dtypes, name
+        rows = then.collect()
+        assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows[:50] for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, sf).count() >= wide.count()
+
+
 # pipeline
 
 
