@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Rows
 that a stage rejects are gone for all later ones. Null or empty texts: the quality stage judges them by their zero
 counts, the language stage rejects them. Repeated rows: the near-duplicate stage keeps one of each document.
-An empty table passes through every stage. Further columns pass through; ``__text``, ``__host`` and ``__path`` are
-taken as names.
+Rows that share an id but not their text are documents of their own. An empty table passes through every stage.
+Further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,33 +19,45 @@ from logloom.llm.queries import held_out, tokenizer_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = quality_classifier.classify(docs, labels, F.col("source"), F.col("lang"))
-    return found.where("kept").select(*docs.columns)
+    into = tables.fresh(docs, "quality")
+    found = quality_classifier.classify(docs, labels, F.col("source"), F.col("lang"), into=into)
+    return found.where(F.col(into)["kept"]).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that some language's model accepts."""
     model = language_id.train(docs, ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    return language_id.identify(docs, model).where("not rejected").select(*docs.columns)
+    into = tables.fresh(docs, "language")
+    return language_id.identify(docs, model, into=into).where(~F.col(into)["rejected"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by n-gram overlap the one of smallest id, once."""
-    found = tables.written(ngram_join.jaccard_components(docs).select("doc_id", "component_id"), "near-duplicates").where("doc_id is not null")
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = tables.written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    """Of each group of documents linked by n-gram overlap the one of smallest id, once.
+
+    Rows are told apart by id and text: those that share an id but not their text are documents of their own.
+    """
+    by_id, by_text = tables.fresh(docs, "id"), tables.fresh(docs, "mark")
+    found = ngram_join.linked(docs).where("id is not null").groupBy("id", "mark").agg(F.max("leader").alias("leader"), F.count("*").alias("n"))
+    found = tables.written(found.withColumnsRenamed({"id": by_id, "mark": by_text}), "near-duplicates")
+    again = found.where("leader and n > 1").select(by_id, by_text)
+    gone = found.where("not leader").select(by_id, by_text)
+    keyed = docs.withColumn(by_text, F.xxhash64("text"))
+    same = lambda other: (keyed["doc_id"] == other[by_id]) & (keyed[by_text] == other[by_text])
     if again.isEmpty():
-        return docs.join(tables.small_or_not(drop), "doc_id", "left_anti").select(*docs.columns)
-    once = docs.join(again, "doc_id", "left_semi").join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    rest = docs.join(tables.small_or_not(drop.union(again).distinct()), "doc_id", "left_anti")
-    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
+        gone = tables.small_or_not(gone)
+        return keyed.join(gone, same(gone), "left_anti").select(*docs.columns)
+    once = keyed.join(again, same(again), "left_semi").dropDuplicates(["doc_id", by_text])
+    gone = tables.small_or_not(gone.unionByName(again))
+    return keyed.join(gone, same(gone), "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and n_chars counted anew."""
+    into = tables.fresh(docs, "spans")
     weights = pii.train(pii.candidates(docs, keep=[]))
-    rows = pii.annotate(pii.candidates(docs), weights)
-    masked = rows.withColumn("text", pii.redacted(F.col("text"), F.col("spans"))).withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    rows = pii.annotate(pii.candidates(docs, into=into), weights, into=into)
+    spans = F.col(into)["spans"]
+    masked = rows.withColumn("text", pii.redacted(F.col("text"), spans)).withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)
 
 
