@@ -436,6 +436,10 @@ def _joined(percent: int):
     return run
 
 
+#: Links for each file of an edge table, and nodes of which a round's smallest neighbours are broadcast.
+EDGES_A_FILE = SMALL = 200_000
+
+
 def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """id, component (smallest id reachable) of all ids in edges (a, b), by alternating large and small stars.
 
@@ -443,24 +447,24 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     folder; only a count and a sum of hashes come back to see whether it changed.
     """
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(df: DataFrame, most: int) -> tuple[DataFrame, tuple]:
+        out = tables.written(df.coalesce(max(1, -(-most // EDGES_A_FILE))), "edges")
+        return out, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = tables.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = mark(now)
+    now, seen = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), edges.count())
     rounds = 0
     while seen[0]:
         if rounds == most_rounds:
             raise RuntimeError(f"components have not settled in {most_rounds} rounds")
         rounds += 1
+        held = F.broadcast if 2 * seen[0] <= SMALL else lambda df: df  # a row a node, two nodes a link at most
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.join(held(least), "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # every node now points at smaller ones: (a, b), a < b; the small star hangs them all on the smallest
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y")
-        then = tables.written(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-        after = mark(then)
+        small = large.join(held(least), "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y")
+        then, after = settled(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), 2 * seen[0])
         if after == seen:
             break
         now, seen = then, after
@@ -502,7 +506,7 @@ def _lists(nodes: DataFrame, settings: Settings) -> DataFrame:
 
 def _narrow(df: DataFrame, name: str) -> DataFrame:
     """A row an n-gram, written; joined by a broadcast while there are few of them, so that a long list isn't dealt to one task."""
-    return tables.small_or_not(tables.written(df, name))
+    return tables.small_or_not(tables.written(df, name), SMALL)
 
 
 def _first_links(lists: DataFrame, nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
