@@ -11,6 +11,19 @@ def labels(spark, sf):
     return spark.read.parquet(f"{sf}/labels.parquet")
 
 
+@pytest.fixture(scope="session")
+def staged(spark, sf, docs):
+    """(name, what the stage made, its rows as a table) of the pipeline's stages but the last, each run on its predecessor's rows."""
+    import corpus_pipeline
+
+    now, out = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        then = stage(spark, now, sf)
+        now = spark.createDataFrame(then.collect(), docs.schema)
+        out.append((name, then, now))
+    return out
+
+
 #: Null, empty and blank texts, odd characters, ties, a repeated row, a null id, and columns that clash with ours.
 HARD = [
     (1, None, "en"), (2, "", None), (3, " \n\t ", "en"), (4, "Le café était très bon, n'est-ce pas?\n\n  Oui 123!", "fr"), (5, "a" * 3000 + " " + "b c " * 500, "en"), (5, "a" * 3000 + " " + "b c " * 500, "en"),

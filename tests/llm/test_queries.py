@@ -63,12 +63,9 @@ def test_packing_of_the_whole_table(spark, sf, docs):
     check_pieces(queries.op1_packing(spark, sf).collect(), {r.doc_id: r.text for r in docs.collect()})
 
 
-def test_pipeline_end_to_end(spark, sf, docs):
+def test_pipeline_end_to_end(spark, sf, staged):
     """run() gives the pieces of what the stages, each called by itself, leave."""
-    now = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        now = spark.createDataFrame(stage(spark, now, sf).collect(), docs.schema)
-    check_pieces(corpus_pipeline.run(spark, sf).collect(), {r.doc_id: r.text for r in now.collect()})
+    check_pieces(corpus_pipeline.run(spark, sf).collect(), {r.doc_id: r.text for r in staged[-1][2].collect()})
 
 
 #: Text with marked spans: kind, whether it is personal data.
