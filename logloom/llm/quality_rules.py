@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from logloom.llm import tables
 from logloom.llm import textblocks as tb
 
+#: Ranges of buckets that counts are sent and summed by.
+PARTS = 256
 SYMBOLS = np.zeros(256, bool)
 #: The symbols of the rule.
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -77,24 +80,38 @@ def train(docs: DataFrame, labels: DataFrame, rules: Rules, id_col: str = "doc_i
                 bucket = bucket.astype(np.int64)
                 bucket += n * rows.column(1).to_numpy(zero_copy_only=False)[text]
                 np.add.at(both, bucket, 1)
-        raw, good = both[:n] + both[n:], both[n:]
-        seen = np.flatnonzero(raw)
-        for part in (seen[i : i + (1 << 16)] for i in range(0, len(seen), 1 << 16)):
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(raw[part]), pa.array(good[part])], ["bucket", "raw", "trusted"])
+        # the counts of a range of buckets are one blob: mostly small numbers, so that it takes a fraction of its rows
+        both = both.reshape(2, PARTS, -1)
+        blobs = [zlib.compress(np.ascontiguousarray(both[:, k]).tobytes(), 1) for k in range(PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
+                sums[part] = sums[part] + counts if part in sums else counts
+        for part, counts in sums.items():
+            other, good = counts.reshape(2, -1)
+            seen = np.flatnonzero(other + good)
+            yield pa.RecordBatch.from_arrays([pa.array((part * (n // PARTS) + seen).astype(np.int32)), pa.array(other[seen]), pa.array(good[seen])], ["bucket", "other", "trusted"])
 
     def counted(marked: DataFrame) -> DataFrame:
-        return marked.mapInArrow(count, "bucket int, raw long, trusted long")
+        shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return marked.mapInArrow(count, "part int, counts binary").repartition(min(shuffled, PARTS), "part").mapInArrow(total, "bucket int, other long, trusted long")
 
     if trusted.limit(tables.BROADCAST_ROWS + 1).count() <= tables.BROADCAST_ROWS:
         marked = texts.join(F.broadcast(trusted.withColumn("__trusted", F.lit(1).cast("long"))), id_col, "left")
-        counts = counted(marked.select(text_col, F.coalesce("__trusted", F.lit(0).cast("long"))))
-    else:  # only trusted texts go through a join
+        found = [counted(marked.select(text_col, F.coalesce("__trusted", F.lit(0).cast("long"))))]
+    else:  # only trusted texts go through a join; all of them are counted as others first
         good = counted(texts.join(trusted, id_col, "left_semi").select(text_col, F.lit(1).cast("long")))
-        counts = counted(texts.select(text_col, F.lit(0).cast("long"))).unionByName(good.withColumn("raw", F.lit(0).cast("long")))
-    got = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
-    at = got["bucket"].to_numpy()
+        found = [counted(texts.select(text_col, F.lit(0).cast("long"))), good.withColumn("other", -F.col("trusted"))]
     raw, good = np.zeros(n), np.zeros(n)
-    raw[at], good[at] = got["raw"].to_numpy(), got["trusted"].to_numpy()
+    for part in found:
+        got = part.toArrow()
+        at = got["bucket"].to_numpy()
+        raw[at] += got["other"].to_numpy() + got["trusted"].to_numpy()
+        good[at] += got["trusted"].to_numpy()
     if not good.sum():
         return np.zeros(n, np.float32)
     return np.log((good + rules.weight) / (raw * (good.sum() / raw.sum()) + rules.weight)).astype(np.float32)

@@ -89,7 +89,9 @@ def test_rule_counts(request, labels, table):
     assert not any(r.kept and r.base_failed for r in rows)
 
 
-def test_rules_score_is_the_mean_log_ratio(spark):
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 3])
+def test_rules_score_is_the_mean_log_ratio(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", broadcast_rows)
     docs = [(i, "good words here " * 5) for i in range(20)] + [(i, "bad $$$ junk " * 5) for i in range(20, 40)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 if i < 20 else 0, 0) for i in range(40)] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
