@@ -14,59 +14,75 @@ BLOCK = 128
 PACKS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
 COUNT = np.array([c for c, _ in PACKS] + [0, 1], np.int64)
+#: Bit lengths of the numbers of 16 bits.
+_BITS = np.fromiter(map(int.bit_length, range(1 << 16)), np.uint8, 1 << 16)
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(values.shape, np.uint8)
-    rest = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1 << step)
-        out[big] += step
-        rest[big] >>= np.uint64(step)
-    return out + (rest > 0)
+    out = _BITS[values & values.dtype.type(0xFFFF)]
+    wide = np.flatnonzero(values > 0xFFFF)
+    rest, add = values[wide], 0
+    while len(wide):
+        rest, add = rest >> rest.dtype.type(16), add + 16
+        out[wide] = _BITS[rest & rest.dtype.type(0xFFFF)] + add
+        more = rest > 0xFFFF
+        wide, rest = wide[more], rest[more]
+    return out
 
 
 def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """values: all lists in a row; lengths: of each list. Returns the words, words of each block, and blocks of each list."""
-    values, lengths = values.astype(np.uint64), np.asarray(lengths, np.int64)
+    """values: all lists in a row; lengths: of each list. Returns the words, words of each block, and blocks of each list.
+
+    The selector that would begin at each value comes from sliding maxima of the bit lengths, for all values at once;
+    the blocks then step from word to word side by side.
+    """
+    values, lengths = np.asarray(values), np.asarray(lengths, np.int64)
+    values = values if values.dtype in (np.uint32, np.uint64) else values.astype(np.uint64)
     n_blocks = -(-lengths // BLOCK)
     total = int(n_blocks.sum())
     if not total:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), n_blocks
-    owner = np.repeat(np.arange(len(lengths)), n_blocks)
-    rank = np.arange(total) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
-    size = np.minimum(lengths[owner] - rank * BLOCK, BLOCK)
-    wide = PACKS[0][0]
-    grid = np.zeros((total, BLOCK + wide), np.uint64)
-    grid[np.repeat(np.arange(total), size), np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)] = values
-    bits = bit_lengths(grid)
-    words = np.zeros((total, 2 * BLOCK), np.uint64)
-    used, at, live = np.zeros(total, np.int64), np.zeros(total, np.int64), np.arange(total)
-    span = np.arange(wide)
-    while len(live):
-        begin = at[live]
-        high = np.maximum.accumulate(bits[live[:, None], begin[:, None] + span], axis=1)
-        chosen = np.full(len(live), ESCAPE)
-        for s in range(len(PACKS) - 1, -1, -1):
+    size = np.full(total, BLOCK, np.int64)
+    some = n_blocks > 0
+    size[np.cumsum(n_blocks)[some] - 1] = (lengths - (n_blocks - 1) * BLOCK)[some]
+    first = np.cumsum(size) - size
+    row = BLOCK + PACKS[0][0]  # no window passes the zeros behind a block
+    high = np.zeros((total, row), np.uint8)
+    high[np.arange(row) < size[:, None]] = bit_lengths(values)
+    high, chosen = high.ravel(), np.full(total * row, ESCAPE, np.uint8)
+    reach = 1
+    for s in range(len(PACKS) - 1, -1, -1):
+        count, width = PACKS[s]
+        step, reach = count - reach, count
+        high = np.maximum(high[: len(high) - step], high[step:])
+        chosen[: len(high)][high <= width] = s
+    begins, at, end = np.zeros(total * row, bool), np.arange(total) * row, np.arange(total) * row + size
+    while len(at):
+        begins[at] = True
+        at = at + COUNT[chosen[at]]
+        open_ = at < end
+        at, end = at[open_], end[open_]
+    at = np.flatnonzero(begins)
+    chosen, block = chosen[at], at // row
+    begin, left = first[block] + at % row, size[block] - at % row
+    each = 1 + (chosen == ESCAPE)
+    place = np.cumsum(each) - each
+    words = np.empty(int(each.sum()), np.uint64)
+    values = np.concatenate((values, np.zeros(PACKS[0][0], values.dtype)))
+    for s in np.unique(chosen).tolist():
+        some = np.flatnonzero(chosen == s)
+        here = begin[some]
+        word = np.full(len(some), s, np.uint64)
+        if s == ESCAPE:
+            words[place[some] + 1] = values[here]
+        else:
             count, width = PACKS[s]
-            chosen[high[:, count - 1] <= width] = s
-        for s in np.unique(chosen):
-            some = np.flatnonzero(chosen == s)
-            rows, first = live[some], begin[some]
-            if s == ESCAPE:
-                words[rows, used[rows]] = ESCAPE
-                words[rows, used[rows] + 1] = grid[rows, first]
-                used[rows] += 2
-            else:
-                count, width = PACKS[s]
-                word = np.full(len(rows), s, np.uint64)
-                for j in range(count):
-                    word |= grid[rows, first + j] << np.uint64(4 + width * j)
-                words[rows, used[rows]] = word
-                used[rows] += 1
-        at[live] += COUNT[chosen]
-        live = live[at[live] < size[live]]
-    return words[np.arange(words.shape[1]) < used[:, None]], used, n_blocks
+            for j in range(count):
+                word |= values[here + j].astype(np.uint64) << np.uint64(4 + width * j)
+            cut = np.flatnonzero(left[some] < count)  # values of the next block lie above those of this one
+            word[cut] &= (np.uint64(1) << (4 + width * left[some[cut]]).astype(np.uint64)) - np.uint64(1)
+        words[place[some]] = word
+    return words, np.bincount(block, each, total).astype(np.int64), n_blocks
 
 
 def decode(words: np.ndarray, block_words: np.ndarray, block_values: np.ndarray) -> np.ndarray:

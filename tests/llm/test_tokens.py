@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -73,6 +74,29 @@ def test_simple8b_round_trip(lists):
         assert (simple8b.decode(words[used[:k].sum() :], used[k:], np.array(sizes[k:])) == values[sum(sizes[:k]) :]).all()
 
 
+def test_simple8b_encode_costs_little():
+    """Beside a sort of as many numbers; measured 1.7 times that, and 15 times with a window of 60 gathered for each word."""
+    values = np.random.default_rng(0).integers(0, 50_000, 1_000_000).astype(np.uint32)
+
+    def seconds(f):
+        found = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            found.append(time.process_time() - began)
+        return min(found)
+
+    assert seconds(lambda: simple8b.encode(values, np.full(1000, 1000))) < 6 * seconds(lambda: np.sort(values.astype(float)))
+
+
+def test_simple8b_words_of_a_block_end():
+    """The last word of a block takes nothing from the next list, whatever its values' size."""
+    values, lengths = np.array([1, 1, 2**40, 3, 2**64 - 1, 0, 2**60], np.uint64), np.array([2, 1, 0, 2, 2])
+    words, used, n_blocks = simple8b.encode(values, lengths)
+    assert words.tolist() == [1 << 4 | 1 << 5, 13 | 2**44, 13 | 3 << 4, 15, 2**64 - 1, 13, 15, 2**60]
+    assert (used.tolist(), n_blocks.tolist()) == ([1, 1, 3, 3], [1, 1, 0, 1, 1])
+
+
 def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
